@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlight.llm import mixing, packing, quality, rules, secrets
+from gridlight.llm import jaccard, mixing, packing, quality, rules, secrets
 from gridlight.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(docs["doc_id"]).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_best_fit_packing, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard_join, op4_best_fit_packing, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
 ORACLES = {"op6_quality_rules": rules.ORACLE, "op7_source_mix": mixing.ORACLE}
