@@ -233,19 +233,30 @@ def signatures(docs: DataFrame, common: np.ndarray, family: DataFrame) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
-def maybe(keys: DataFrame, column: str):
-    """A test whether a hash may be in that column: no false negatives, and a table of 4 MB whatever the number of keys."""
-    bits = 1 << 25
-    rows = keys.select((F.col(column).bitwiseAND(F.lit(bits - 1))).alias("at")).distinct().groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
-    table = np.zeros(bits // 64, np.uint64)
-    for r in rows.toLocalIterator():
-        table[r.word] = np.uint64(r.bits & (1 << 64) - 1)
-
-    def test(h) -> bool:
-        at = int(h) & (bits - 1)
-        return bool(int(table[at >> 6]) >> (at & 63) & 1)
-
-    return test
+class Maybe:
+    """Whether a hash may be among those of a table: no false negatives, and 4 MB whatever the number of hashes."""
+
+    BITS = 1 << 25
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __call__(self, h: int) -> bool:
+        at = int(h) & (self.BITS - 1)
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+    def many(self, h: np.ndarray) -> np.ndarray:
+        at = h.astype(np.int64) & (self.BITS - 1)
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def maybe(keys: DataFrame, column: str) -> Maybe:
+    at = keys.select((F.col(column).bitwiseAND(F.lit(Maybe.BITS - 1))).alias("at")).distinct()
+    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+    words = np.zeros(Maybe.BITS // 64, np.uint64)
+    for r in rows.toLocalIterator():  # at most BITS / 64 rows
+        words[r.word] = np.uint64(r.bits & (1 << 64) - 1)
+    return Maybe(words)
 
 
 def families(sigs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlight.llm import jaccard, mixing, packing, quality, rules, secrets
+from gridlight.llm import jaccard, mixing, packing, quality, rules, secrets, suffixes
 from gridlight.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.digest(rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"))))
 
@@ -34,5 +38,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(docs["doc_id"]).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard_join, op4_best_fit_packing, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_dedup, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
 ORACLES = {"op6_quality_rules": rules.ORACLE, "op7_source_mix": mixing.ORACLE}
