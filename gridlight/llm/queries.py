@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridlight.llm import jaccard, mixing, packing, quality, rules, secrets, suffixes
+from gridlight.llm import jaccard, mixing, neighbours, packing, quality, rules, secrets, suffixes
 from gridlight.llm.common import table
 
 
@@ -12,6 +13,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -38,5 +43,5 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(docs["doc_id"]).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_dedup, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_multi_index_neighbours, op3_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_dedup, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
 ORACLES = {"op6_quality_rules": rules.ORACLE, "op7_source_mix": mixing.ORACLE}
