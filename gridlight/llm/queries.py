@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlight.llm import jaccard, mixing, neighbours, packing, quality, rules, secrets, suffixes
+from gridlight.llm import extract, jaccard, mixing, neighbours, packing, quality, rules, secrets, suffixes, tokencount
 from gridlight.llm.common import table
 
 
@@ -37,11 +37,25 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.recount(table(spark, sf_dir, "documents"), tokencount.sample_edits())
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(docs["doc_id"]).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_multi_index_neighbours, op3_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_dedup, op6_quality_rules, op7_source_mix, op10_quality_ranking)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_multi_index_neighbours, op3_ngram_jaccard_join, op4_best_fit_packing, op5_suffix_dedup,
+        op6_quality_rules, op7_source_mix, op8_edit_aware_counts, op9_main_text, op10_quality_ranking,
+    )
+}
 ORACLES = {"op6_quality_rules": rules.ORACLE, "op7_source_mix": mixing.ORACLE}
