@@ -68,7 +68,7 @@ def encoder(vocabulary: str | None):
         starts = np.flatnonzero(spaced[ids])
         if len(starts) != len(plain):
             return {w: whole(f" {w}") for w in words}
-        ends = np.append(starts[1:], len(ids))
+        ends = np.append(starts[1:], len(ids))[: len(starts)]
         raw, out = ids.tobytes(), {w: whole(f" {w}") for w in set(words).difference(plain)}
         out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, starts.tolist(), ends.tolist(), strict=True)}
         return out
