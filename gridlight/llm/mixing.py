@@ -130,7 +130,7 @@ def mixed(docs: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
     joined = keyed.alias("d").join(taken.alias("t"), on[0] & on[1] & on[2]).select("d.*", "t.all")
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(0)))
     rows = joined.withColumn("nth", nth).withColumn("own", F.element_at("all", F.col("nth")))
-    whole, rest = F.floor(F.col("own.taken") / F.col("own.size")), F.col("own.taken") % F.col("own.size")
+    whole, rest = F.expr("coalesce(own.taken div nullif(own.size, 0), 0)"), F.expr("coalesce(own.taken % nullif(own.size, 0), 0)")
     uses = F.concat(F.array_repeat(F.lit(None).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     part = rows.withColumn("words", F.explode(uses))
     head = F.expr(r"array_join(slice(regexp_extract_all(text, '([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)', 1), 1, cast(words AS int)), '')")
