@@ -16,7 +16,7 @@ from gridlight.llm.common import durable, table
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose ranking score reaches the cut; the ranking is learned from the labels outside the held-out fold."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.classify(docs, model, "__score", "__kept").where("__kept = 1").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     del spark, sf_dir
     groups = jaccard.join(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but these six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of text that one step of a Python map holds at once.
-SLICE = 512
+#: Rows of text that one step of a Python map holds at once, and rows of an Arrow batch, instead of Spark's 10000.
+SLICE, BATCH = 512, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/gridlight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of documents that both sides of a Python worker can hold several of; a setting of one's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +48,7 @@ def map_rows(df: DataFrame, make: Callable[[list[list]], list[list]], schema: st
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,21 +182,20 @@ class Page:
         """The text blocks to keep: the labelling of all nodes with the greatest sum of log odds in which a kept node has
         kept ancestors and a kept inner node keeps something below."""
         n, m = len(self.parent), margin.tolist()
-        inside = [0.0] * n  # best sum below a kept node, and how much it loses by keeping something
-        loss = [float("inf")] * n
-        keep = [0.0] * n
+        keep, inside = [0.0] * n, [0.0] * n  # best sum of a kept node with all below it, and of what is worth keeping below
+        best = [0] * n  # the child that costs least, for a kept node with nothing worth keeping below
         for i in range(n - 1, 0, -1):
-            keep[i] = m[i] + (0.0 if self.text[i] is not None else inside[i] - loss[i] if loss[i] > 0 else inside[i])
+            forced = self.text[i] is None and not inside[i]
+            keep[i] = m[i] + (keep[best[i]] if best[i] else float("-inf")) if forced else m[i] + inside[i]
             p = self.parent[i]
-            if keep[i] > 0:
-                inside[p] += keep[i]
-                loss[p] = 0.0
-            elif loss[p]:
-                loss[p] = min(loss[p], -keep[i])
+            inside[p] += max(keep[i], 0.0)
+            if not best[p] or keep[i] >= keep[best[p]]:
+                best[p] = i
         out, kept = [], [False] * n
         kept[0] = True
         for i in range(1, n):
-            kept[i] = kept[self.parent[i]] and keep[i] > 0
+            p = self.parent[i]
+            kept[i] = kept[p] and (keep[i] > 0 or bool(p) and not inside[p] and best[p] == i)
             if kept[i] and self.text[i] is not None:
                 out.append(i)
         return out

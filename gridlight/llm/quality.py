@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit_pairs(x[order], np.array([r.y for r in rows])[order])
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and score and predicted, by the whole text; null and empty texts are scored as empty ones."""
+def classify(docs: DataFrame, model: Model, score_as: str = "score", predicted_as: str = "predicted") -> DataFrame:
+    """All columns of docs, and those two, by the whole text; null and empty texts are scored as empty ones."""
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())
@@ -135,4 +135,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         x = np.array([features(t) for t in texts], dtype=float).reshape(len(texts), len(NAMES))
         return pd.Series(model.score(x), dtype="float64")
 
-    return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.withColumn(score_as, score(F.col("text"))).withColumn(predicted_as, (F.col(score_as) >= THRESHOLD).cast("int"))
