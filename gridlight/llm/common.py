@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,12 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that durable() writes inside are deleted at the end, but for those with keep=True."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        paths = _made.get() or []
+        _made.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/gridlight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = _made.get()
+    if made is not None and not keep:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

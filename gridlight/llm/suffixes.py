@@ -1,14 +1,15 @@
 """Removal of repeated passages by a common-prefix-aware merge sort of suffixes.
 
-A byte goes if it is covered by a SPAN-byte string that also starts earlier. Strings are told apart by sorting: each task
-sorts the first SPAN bytes of its suffixes and front-codes the run (length of the prefix shared with the line before, then the rest); runs
-meet by a loser tree that compares no byte twice, as it carries the known common prefixes along; neighbours whose common
-prefix is the whole SPAN are equal, and the earliest of them stays.
-
-Only suffixes that can have an equal are sorted. Every string has an anchor, the position of the smallest hash among its
-K-byte substrings, and equal strings have equal anchors at the same place. Anchors whose substring occurs once are done
-with. Strings of an anchor whose whole surroundings also stand elsewhere are settled by the hash of the surroundings. What is
-left, the edges of repeated passages and chance phrases, is sorted; one anchor for each different surrounding.
+A byte goes if it is covered by a SPAN-byte string that also starts earlier. Each task sorts the first SPAN bytes of its
+suffixes and front-codes the run (length of the prefix shared with the line before, then the rest); runs meet in a loser tree that
+compares no byte twice, as it carries the known common prefixes along, and gives out the common prefix of neighbours.
+
+Only suffixes that can matter are sorted. Every string has an anchor, the position of the smallest hash among its K-byte
+substrings, and equal strings have equal anchors at the same place. Anchors whose substring occurs once are done with. Strings
+of an anchor whose whole surroundings also stand elsewhere are settled by the hash of the surroundings. Of what is left, the
+edges of repeated passages and chance phrases, one suffix for each different surrounding is sorted: the one that starts at the
+anchor. A string that starts j bytes before it equals another if the suffixes share SPAN - j bytes, which makes them neighbours
+in the merged order, and the j bytes before are the same.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import durable
+from gridlight.llm.common import durable, scratch
 from gridlight.llm.jaccard import maybe
 
 SPAN, K = 100, 32
-#: Bytes that are hashed at once; strings of a sorted run; strings that a merging task gets, about.
-CHUNK, RUN, MERGE = 1 << 20, 100_000, 400_000
+#: Bytes before an anchor that a string can start at most. Bytes that are hashed at once; suffixes of a sorted run; suffixes
+#: that a merging task gets, about.
+LEFT = SPAN - K
+CHUNK, RUN, MERGE = 1 << 18, 20_000, 50_000
 KEPT = 200_000
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 1 << 64)
@@ -144,19 +147,15 @@ def anchors(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "kind long, did long, mark long, place long, around long")
 
 
-Entry = tuple[bytes, int, int, int]
-
-
-def front_code(run: list[Entry]) -> bytes:
-    """A sorted run of (string, did, mark, start): common prefix lengths, the rests, and the numbers."""
-    common, rests, before = bytearray(), [], b""
-    for s, *_ in run:
-        n = shared_prefix(before, s, 0)
-        common.append(n)
-        rests.append(s[n:])
-        before = s
-    numbers = np.array([x[1:] for x in run], np.int64)
-    return len(run).to_bytes(4, "little") + bytes(common) + numbers.tobytes() + b"".join(rests)
+def sort_run(strings: np.ndarray, numbers: np.ndarray, lefts: np.ndarray) -> bytes:
+    """A front-coded run of suffixes: rows of SPAN bytes, of three numbers, and of the LEFT bytes before. It holds how many
+    bytes each suffix shares with the one before, the numbers, the bytes before, and the rests of the suffixes."""
+    order = np.argsort(np.ascontiguousarray(strings).view(f"S{SPAN}").ravel(), kind="stable")
+    strings = strings[order]
+    differ = strings[1:] != strings[:-1]
+    common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), SPAN)]).astype(np.uint8)
+    rests = strings[np.arange(SPAN) >= common[:, None]].tobytes()
+    return len(order).to_bytes(4, "little") + common.tobytes() + numbers[order].tobytes() + lefts[order].tobytes() + rests
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -173,15 +172,16 @@ def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     return low
 
 
-def read_run(blob: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int]]]:
-    """(common prefix with the line before, string, numbers) of a front-coded run."""
+def read_run(blob: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(common prefix with the line before, suffix, numbers and bytes before it) of a front-coded run."""
     n = int.from_bytes(blob[:4], "little")
-    common, numbers = blob[4 : 4 + n], np.frombuffer(blob, np.int64, 3 * n, 4 + n).reshape(n, 3).tolist()
-    at, before = 4 + n + 24 * n, b""
-    for c, x in zip(common, numbers, strict=True):
+    numbers, lefts, at = 4 + n, 4 + 25 * n, 4 + (25 + LEFT) * n
+    before = b""
+    for k in range(n):
+        c = blob[4 + k]
         before = before[:c] + blob[at : at + SPAN - c]
         at += SPAN - c
-        yield c, before, tuple(x)
+        yield c, before, blob[numbers + 24 * k : numbers + 24 * k + 24] + blob[lefts + LEFT * k : lefts + LEFT * k + LEFT]
 
 
 class LoserTree:
@@ -221,8 +221,8 @@ class LoserTree:
         self.common[lost] = n
         return w, lost
 
-    def __iter__(self) -> Iterator[tuple[int, tuple[int, int, int]]]:
-        """(common prefix with the string before, numbers) in order."""
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        """(common prefix with the string before, what goes with the string) in order."""
         while (head := self.heads[self.winner]) is not None:
             w = self.winner
             yield self.common[w], head[2]
@@ -237,82 +237,81 @@ class LoserTree:
             self.winner = w
 
 
-def equal_later(merged: Iterator[tuple[int, tuple[int, int, int]]]) -> tuple[list, list]:
-    """(first of each group of equal strings, all others), each (did, mark, start)."""
-    firsts, others, best = [], [], None
-    for common, x in merged:
-        if common == SPAN and best is not None:
-            others.append(max(best, x))
-            best = min(best, x)
-        else:
-            if best is not None:
-                firsts.append(best)
-            best = x
-    if best is not None:
-        firsts.append(best)
-    return firsts, others
-
-
-def covered(found: list[tuple[int, int, int]]) -> pa.Table:
-    """did, mark, low, high: the bytes that strings (did, mark, start) cover, in maximal runs of starts."""
-    if not found:
-        return pa.table({c: pa.array([], pa.int64()) for c in ("did", "mark", "low", "high")})
-    x = np.array(sorted(found), np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1) | (x[1:, 2] > x[:-1, 2] + SPAN)]))
-    last = np.append(new[1:], len(x)) - 1
+def equal_later(common: np.ndarray, numbers: np.ndarray, lefts: np.ndarray) -> np.ndarray:
+    """Rows (did, mark, start) of the strings that equal an earlier one, from merged suffixes: common prefixes with the
+    suffix before, (did, mark, place) and the bytes before, the last one nearest."""
+    n = len(common)
+    at, low, high = numbers[:, 2] >> 16, (numbers[:, 2] >> 8) & 255, numbers[:, 2] & 255
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((at, numbers[:, 1], numbers[:, 0]))] = np.arange(n)
+    after = np.append(common[1:], 0)
+    before, out = np.zeros(n, np.uint64), []
+    for j in range(LEFT + 1):
+        if j:
+            before = before * np.uint64(_M) + _BYTES[lefts[:, LEFT - j]]
+        need = SPAN - j
+        use = np.flatnonzero((low <= j) & (j <= high) & ((common >= need) | (after >= need)))
+        if len(use) < 2:
+            continue
+        key = mix(before[use] + np.cumsum(common < need)[use].astype(np.uint64) * np.uint64(_INV))
+        order = np.lexsort((rank[use], key))
+        later = use[order[1:][key[order[1:]] == key[order[:-1]]]]
+        out.append(np.stack([numbers[later, 0], numbers[later, 1], at[later] - j], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+
+def covered(x: np.ndarray) -> pa.Table:
+    """did, mark, low, high: the bytes that strings, rows of (did, mark, start), cover, in maximal runs."""
+    x = x.reshape(-1, 3)[np.lexsort(x.reshape(-1, 3).T[::-1])]
+    new = np.flatnonzero(np.concatenate([[True] * bool(len(x)), (x[1:, :2] != x[:-1, :2]).any(1) | (x[1:, 2] > x[:-1, 2] + SPAN)]))
+    last = np.append(new[1:], len(x)).astype(np.int64)[: len(new)] - 1
     return pa.table({"did": x[new, 0], "mark": x[new, 1], "low": x[new, 2], "high": x[last, 2] + SPAN})
 
 
 def sorted_runs(keyed: DataFrame, wanted, parts: int) -> DataFrame:
-    """part, run: sorted, front-coded runs of the strings of all wanted anchors; of equal strings in a run the first.
-    The others are given as did, mark, low, high, the bytes that they cover."""
-
-    def flush(held: dict[int, list[Entry]]):
-        out, later = [], []
-        for part, entries in held.items():
-            entries.sort()
-            kept, before = [], None
-            for e in entries:
-                if e[0] == before:
-                    later.append(e[1:])
-                else:
-                    kept.append(e)
-                    before = e[0]
-            out.append((part, front_code(kept)))
-        lines = covered(later)
-        n, m = len(out), lines.num_rows
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in out] + [None] * m, pa.int64()), pa.array([b for _, b in out] + [None] * m, pa.binary()), *[pa.concat_arrays([pa.nulls(n, pa.int64()), lines.column(c).combine_chunks()]) for c in ("did", "mark", "low", "high")]],
-            names=["part", "run", "did", "mark", "low", "high"],
-        )
+    """part, run: sorted, front-coded runs of the suffixes at all wanted anchors; a part has all suffixes of an anchor's hash."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]):
+        to, strings, numbers, lefts = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(to, kind="stable")
+        pieces = np.split(order, np.flatnonzero(np.diff(to[order])) + 1)
+        return pa.RecordBatch.from_arrays([pa.array([int(to[p[0]]) for p in pieces], pa.int64()), pa.array([sort_run(strings[p], numbers[p], lefts[p]) for p in pieces], pa.binary())], names=["part", "run"])
 
     def run(batches):
-        held: dict[int, list[Entry]] = {}
-        n = 0
+        held, n = [], 0
         for dids, marks, texts in _chunks(batches):
             a = Anchors(texts)
-            kinds = a.kinds()
-            for i in np.flatnonzero(wanted.many(np.array(marks, np.int64)[a.doc] ^ (a.at - a.starts[a.doc]))) if len(a.at) else ():
-                d, base = a.doc[i], int(a.starts[a.doc[i]])
-                into = held.setdefault(int(kinds[i] % np.uint64(parts)), [])
-                into += [(a.data[s : s + SPAN], dids[d], marks[d], s - base) for s in range(int(a.low[i]), int(a.high[i]) + 1)]
-                n += int(a.high[i] - a.low[i]) + 1
-                if n >= RUN:
-                    yield flush(held)
-                    held, n = {}, 0
-        yield flush(held)
-
-    return keyed.mapInArrow(run, "part long, run binary, did long, mark long, low long, high long")
+            own = np.array(marks, np.int64)
+            hit = np.flatnonzero(wanted.many(own[a.doc] ^ (a.at - a.starts[a.doc])))
+            if not len(hit):
+                continue
+            doc, at = a.doc[hit], a.at[hit]
+            # bytes beyond either end of the chunk are zero; those of a neighbouring text are never looked at, as strings
+            # that would reach there are not the anchor's
+            data = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(a.data, np.uint8), np.zeros(SPAN, np.uint8)]), LEFT + SPAN)[at]
+            place = ((at - a.starts[doc]) << 16) | ((at - a.high[hit]) << 8) | (at - a.low[hit])
+            numbers = np.stack([np.array(dids, np.int64)[doc], own[doc], place], axis=1)
+            held.append(((a.kinds()[hit] % np.uint64(parts)).astype(np.int64), data[:, LEFT:], numbers, data[:, :LEFT]))
+            n += len(hit)
+            if n >= RUN:
+                yield flush(held)
+                held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return keyed.mapInArrow(run, "part long, run binary")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """did, mark, low, high: what strings cover that stand earlier in another run."""
+    """did, mark, low, high: what strings cover that stand earlier."""
 
     def run(group: pa.Table) -> pa.Table:
-        blobs = group.column("run").to_pylist()
-        if len(blobs) < 2:
-            return covered([])
-        return covered(equal_later(iter(LoserTree([read_run(b) for b in blobs])))[1])
+        common, rest = bytearray(), bytearray()
+        for c, x in LoserTree([read_run(b) for b in group.column("run").to_pylist()]):
+            common.append(c)
+            rest += x
+        table = np.frombuffer(rest, np.uint8).reshape(len(common), 24 + LEFT)
+        return covered(equal_later(np.frombuffer(common, np.uint8).astype(np.int64), np.ascontiguousarray(table[:, :24]).view(np.int64), table[:, 24:]))
 
     return runs.groupBy("part").applyInArrow(run, "did long, mark long, low long, high long")
 
@@ -327,16 +326,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     # anchors that occur again, and of those the first with its surroundings
     by, same = Window.partitionBy("kind"), Window.partitionBy("kind", "around")
     me = F.struct("did", "mark", "place")
-    again = anchors(keyed).withColumn("n", F.count("*").over(by)).where("n > 1").withColumn("leads", F.min(me).over(same) == me)
-    again = durable(again.withColumn("kinds", F.max("around").over(by) != F.min("around").over(by)).select("did", "mark", "place", "leads", "kinds"), "anchors")
+    again = anchors(keyed).withColumn("n", F.count("*").over(by)).withColumn("kinds", F.max("around").over(by) != F.min("around").over(by)).where("n > 1")
+    again = durable(again.withColumn("leads", F.min(me).over(same) == me).select("did", "mark", "place", "leads", "kinds"), "anchors")
     at, before, after = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
     settled = again.where("NOT leads").select("did", "mark", (at - before).alias("low"), (at + after).alias("high"))
     open_ = again.where("leads AND kinds").select((F.col("mark").bitwiseXOR(at)).alias("key"))
-    strings = again.where("leads AND kinds").agg(F.coalesce(F.sum(before + after - SPAN + 1), F.lit(0))).first()[0]
+    n = open_.count()
     out = copies.union(settled)
-    if strings:
-        runs = durable(sorted_runs(keyed, maybe(open_, "key"), int(strings // MERGE) + 1), "runs")
-        out = out.union(runs.where("part IS NULL").select("did", "mark", "low", "high")).union(merge_runs(runs.where("part IS NOT NULL").select("part", "run")))
+    if n:
+        out = out.union(merge_runs(sorted_runs(keyed, maybe(open_, "key"), n // MERGE + 1)))
     return out
 
 
@@ -348,7 +346,8 @@ def remove(docs: DataFrame) -> DataFrame:
     are ignored; no rows give no rows.
     """
     docs = docs.select("doc_id", "text")
-    spans = repeats(docs).groupBy("did", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    with scratch(docs.sparkSession):
+        spans = durable(repeats(docs).groupBy("did", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans", keep=True)
     keyed = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0)))
     joined = keyed.join(spans, ["did", "mark"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()

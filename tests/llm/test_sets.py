@@ -130,15 +130,15 @@ def test_loser_tree_merges_and_counts_prefixes():
     rng = random.Random(0)
     for k in (1, 2, 3, 5, 8):
         runs, everything = [], []
-        for _ in range(k):
-            n = rng.randint(0, 30)
+        for r in range(k):
+            n = rng.randint(1, 30)
             strings = np.frombuffer("".join(rng.choices("ab", weights=[9, 1], k=100 * n)).encode(), np.uint8).reshape(n, 100)
-            if not n:
-                continue
-            numbers = np.array([[rng.randint(0, 9), 0, i] for i in range(n)], np.int64)
-            blob, left = suffixes.sort_run(strings, numbers)
-            everything += [(s, x) for _, s, x in suffixes.read_run(blob)]
-            assert len(list(suffixes.read_run(blob))) + len(left) == n
+            numbers = np.array([[rng.randint(0, 9), r, i] for i in range(n)], np.int64)
+            lefts = np.frombuffer("".join(rng.choices("xy", k=suffixes.LEFT * n)).encode(), np.uint8).reshape(n, -1)
+            blob = suffixes.sort_run(strings, numbers, lefts)
+            got = list(suffixes.read_run(blob))
+            assert sorted((s, x) for _, s, x in got) == sorted((a.tobytes(), b.tobytes() + c.tobytes()) for a, b, c in zip(strings, numbers, lefts))
+            everything += [(s, x) for _, s, x in got]
             runs.append(suffixes.read_run(blob))
         merged = list(suffixes.LoserTree(runs))
         everything.sort()
