@@ -26,9 +26,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     del spark, sf_dir
     groups = jaccard.join(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    unit = F.struct("doc_id").alias("__unit")  # a struct can be joined where its part is null
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(unit).distinct()
+    kept = docs.withColumn("__unit", unit).join(stay, "__unit", "left_semi")
+    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["__unit", "__hash"]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

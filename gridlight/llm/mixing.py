@@ -124,13 +124,13 @@ def take(docs: DataFrame, seed: int = 11, block: int = BLOCK, weights: tuple[int
 def mixed(docs: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """The mix itself, with the columns of docs: a row for every whole use of a document, and one, cut after the words
     that the last block still takes, for a use in part; n_chars (if any) follows the text."""
-    taken = take(docs, seed, block).groupBy("doc_id", "source", "text_hash").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("uses"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", "row.doc_id", "row.source", F.xxhash64("row.text").alias("text_hash"))
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "text_hash")]
-    joined = keyed.alias("d").join(taken.alias("t"), on[0] & on[1] & on[2]).select("d.*", "t.uses")
+    # a struct as key: its parts may be null, and one shuffle serves the join and the ranks
+    unit = F.struct("doc_id", "source", "text_hash").alias("unit")
+    taken = take(docs, seed, block).groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("uses"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", "row.doc_id", "row.source", F.xxhash64("row.text").alias("text_hash")).select("row", unit)
     # rows that repeat one document take its uses in turn
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(0)))
-    rows = joined.withColumn("nth", nth).select("row", F.element_at("uses", F.col("nth")).alias("own"))
+    nth = F.row_number().over(Window.partitionBy("unit").orderBy(F.lit(0)))
+    rows = keyed.join(taken, "unit").withColumn("nth", nth).select("row", F.element_at("uses", F.col("nth")).alias("own"))
     whole, rest = F.expr("coalesce(own.taken div nullif(own.size, 0), 0)"), F.expr("coalesce(own.taken % nullif(own.size, 0), 0)")
     uses = F.concat(F.array_repeat(F.lit(None).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     head = F.expr(r"array_join(slice(regexp_extract_all(row.text, '([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)', 1), 1, cast(words AS int)), '')")
