@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import durable
+from gridlight.llm.common import durable, scratch
 from gridlight.llm.links import components
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ SHINGLE = 5
 NUM, DEN = 3, 7
 #: Bitmaps have 64 * LONGS bits. Counters of the table of common hashes. Members of a block, of a leaf, children of a node.
 LONGS, COUNTERS, BLOCK, LEAF, FAN = 32, 1 << 20, 512, 8, 8
+#: Nodes under a hash that are paired by a join; more are paired in blocks, some DEALT rows to a task's group.
+FEW, DEALT = 8, 10_000
 #: Documents from which on a hash counts as common. Set ids that a task remembers so as not to send a set twice.
 COMMON, KEPT = 64, 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -216,11 +218,12 @@ def signatures(docs: DataFrame, common: np.ndarray, family: DataFrame) -> DataFr
                     if len(seen) < KEPT:
                         seen.add(sid)
             prefixes, wholes, maps = [], [], []
-            for _, s in new:
+            family_hits = keys.many(np.array([s[0] for _, s in new], np.uint64).view(np.int64))
+            for (_, s), hit in zip(new, family_hits.tolist(), strict=True):
                 late = common[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 p = prefix_length(len(s))
                 prefixes.append(s[:p] if not late[:p].any() else np.concatenate([s[~late], s[late]])[:p])
-                wholes.append(s if keys(s[0]) else s[:0])
+                wholes.append(s if hit else s[:0])
                 maps.append(bitmap(s))
             grid = np.array(maps, np.uint64).reshape(len(new), LONGS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -234,36 +237,41 @@ def signatures(docs: DataFrame, common: np.ndarray, family: DataFrame) -> DataFr
 
 
 class Maybe:
-    """Whether a hash may be among those of a table: no false negatives, and 4 MB whatever the number of hashes."""
+    """Whether a hash may be among those of a table: no false negatives, and 8 MB whatever the number of hashes. Three bits
+    stand for a hash; with a million hashes one foreign hash in 10,000 passes."""
 
-    BITS = 1 << 25
+    BITS, SHIFTS = 1 << 26, (0, 19, 38)
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     def __call__(self, h: int) -> bool:
-        at = int(h) & (self.BITS - 1)
-        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+        return bool(self.many(np.array([h]).astype(np.uint64).view(np.int64))[0])
 
     def many(self, h: np.ndarray) -> np.ndarray:
-        at = h.astype(np.int64) & (self.BITS - 1)
-        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        out = np.ones(len(h), bool)
+        for s in self.SHIFTS:
+            at = (h.astype(np.int64).view(np.uint64) >> np.uint64(s)) & np.uint64(self.BITS - 1)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
 
 def maybe(keys: DataFrame, column: str) -> Maybe:
-    at = keys.select((F.col(column).bitwiseAND(F.lit(Maybe.BITS - 1))).alias("at")).distinct()
+    places = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(Maybe.BITS - 1)) for s in Maybe.SHIFTS])
+    at = keys.select(F.explode(places).alias("at")).distinct()
     rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
     words = np.zeros(Maybe.BITS // 64, np.uint64)
-    for r in rows.toLocalIterator():  # at most BITS / 64 rows
-        words[r.word] = np.uint64(r.bits & (1 << 64) - 1)
+    got = rows.toArrow()  # at most BITS / 64 rows
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return Maybe(words)
 
 
 def families(sigs: DataFrame) -> DataFrame:
     """a, b per set of a family: linked sets of one block have the same b."""
     whole = sigs.where("size(whole) > 0").select("sid", "least", "whole")
-    counts = whole.groupBy("least").count()
-    dealt = whole.join(counts, "least").withColumn("salt", F.pmod(F.xxhash64("sid"), F.ceil(F.col("count") / BLOCK))).select("least", "salt", "sid", "whole")
+    crowded = whole.groupBy("least").count().where(F.col("count") > BLOCK)
+    salt = F.pmod(F.xxhash64("sid"), F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))
+    dealt = whole.join(crowded, "least", "left").select("least", salt.alias("salt"), "sid", "whole")
 
     def run(group: pa.Table) -> pa.Table:
         ids, first = np.unique(group.column("sid").to_numpy(), return_index=True)
@@ -278,26 +286,23 @@ def families(sigs: DataFrame) -> DataFrame:
     return dealt.groupBy("least", "salt").applyInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of set ids that are linked, by all their hashes, which are made again from the texts."""
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (x, y) of set ids that are linked, by all their hashes, which are made again from the texts of one document
+    per set; rows has doc_id and sid."""
     if pairs.isEmpty():
         return pairs
     needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    keys = maybe(needed, "sid")
+    keys = maybe(rows.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min(F.xxhash64("doc_id")).alias("key")), "key")
 
     def run(batches):
-        seen: set[int] = set()
-        for _, sets in _texts(batches):
-            new = []
-            for s in sets:
-                if len(s) and keys(sid := set_id(s)) and sid not in seen:
-                    new.append((sid, s))
-                    if len(seen) < KEPT:
-                        seen.add(sid)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), _lists([s for _, s in new])], names=["sid", "whole"])
-
-    sets = docs.mapInArrow(run, "sid long, whole array<long>")
-    sets = durable(sets.join(needed, "sid", "left_semi").groupBy("sid").agg(F.first("whole").alias("whole")), "sets")
+        for batch in batches:
+            mine = batch.filter(pa.array(keys.many(batch.column(0).to_numpy()), pa.bool_()))
+            for _, sets in _texts([mine]):
+                full = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in full], pa.int64()), _lists(full)], names=["sid", "whole"])
+
+    sets = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "sid long, whole array<long>")
+    sets = durable(sets.join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("whole").alias("p")), "x").join(sets.select(F.col("sid").alias("y"), F.col("whole").alias("q")), "y")
     return both.where(DEN * F.size(F.array_intersect("p", "q")) >= NUM * (F.size("p") + F.size("q"))).select("x", "y")
 
@@ -311,9 +316,19 @@ def bound(x: str, y: str) -> Column:
 
 
 def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of node ids that pass the bound; nodes has node, low, high, slack and the bitmap."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("low", "high", "slack", *S).alias(f"node_{c}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").where(bound("node_x", "node_y")).select("x", "y")
+    """Pairs (x, y, n: hashes that their prefixes share) of node ids that may have linked sets; nodes has node, low, high,
+    slack and the bitmap.
+
+    First by n: of two sets the prefix that ends earlier in the common order holds all that they share up to its end, so they
+    share at most n more than what lies beyond a prefix. Then by bitmaps, which few pairs need.
+    """
+    ends = nodes.select("node", "low", "high")
+    side = lambda c: ends.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    sized = pairs.join(side("x"), "x").join(side("y"), "y")
+    beyond = F.ceil(F.greatest("high_x", "high_y") * 3 / 4) - 1
+    near = sized.where((DEN * (F.col("n") + beyond) >= NUM * (F.col("low_x") + F.col("low_y"))) & (4 * F.least("high_x", "high_y") >= 3 * F.greatest("low_x", "low_y"))).select("x", "y")
+    full = lambda c: nodes.select(F.col("node").alias(c), F.struct("low", "high", "slack", *S).alias(f"node_{c}"))
+    return near.join(full("x"), "x").join(full("y"), "y").where(bound("node_x", "node_y")).select("x", "y")
 
 
 def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -324,26 +339,83 @@ def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def chains(placed: DataFrame) -> DataFrame:
-    """Pairs of sets to try first: under each hash, neighbours in the order of components; two for a pair of components
-    at most. As many as there are places, however many components a hash has."""
+    """Pairs (x, y, n) of sets to try first: under each hash, neighbours in the order of components, and of two components the
+    pair that is met most often. Fewer than there are places, however many components a hash has."""
     one = placed.groupBy("h", "comp").agg(F.min("sid").alias("sid"))
     by = Window.partitionBy("h").orderBy("comp")
     near = one.select(F.lag("comp").over(by).alias("comp_x"), F.lag("sid").over(by).alias("x"), F.col("comp").alias("comp_y"), F.col("sid").alias("y")).where("x IS NOT NULL")
-    ends = near.groupBy("comp_x", "comp_y").agg(F.min(F.struct("x", "y")).alias("p"), F.max(F.struct("x", "y")).alias("q"))
-    return ends.select(F.explode(F.array("p", "q")).alias("e")).select("e.x", "e.y").distinct()
+    met = near.groupBy("comp_x", "comp_y", "x", "y").agg(F.count("*").alias("n"))
+    return met.groupBy("comp_x", "comp_y").agg(F.max(F.struct("n", "x", "y")).alias("e")).select("e.x", "e.y", "e.n")
+
+
+def nodes_of(placed: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sid, node, comp) of the sets that stand in placed, and the nodes: FAN * 2 sets of a component at most, about."""
+    used = sets.withColumnRenamed("node", "sid").join(placed.select("sid").distinct(), "sid", "left_semi")
+    member = used.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    crowded = member.groupBy("comp").count().where(F.col("count") > 2 * FAN)
+    part = F.pmod(F.xxhash64("sid"), F.coalesce(F.ceil(F.col("count") / (2 * FAN)), F.lit(1)))
+    member = member.join(crowded, "comp", "left").withColumn("part", part)
+    nodes = member.groupBy("comp", "part").agg(F.min("sid").alias("node"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), *[F.expr(f"bit_or({c})").alias(c) for c in S])
+    nodes = durable(nodes, "nodes")
+    return durable(member.select("sid", "comp", "part").join(nodes.select("comp", "part", "node"), ["comp", "part"]).select("sid", "node", "comp"), "members"), nodes
+
+
+def crowds(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes of different components that pass the bound, and n, under how many hashes, for hashes that many nodes
+    have (held: h, node, n of them, least of them). Nodes meet in pairs of blocks of bounded size; only what passes leaves the
+    task. Hashes of one passage have the same nodes, so the same least one, and are counted in one task."""
+    full = nodes.select("node", "comp", "low", "high", "slack", *S)
+    dealt = held.withColumn("blocks", F.ceil(F.col("n") / (2 * BLOCK))).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    groups = held.count() // DEALT + 1
+    dealt = dealt.select("h", "node", "own", "i", "j", F.pmod(F.xxhash64("least", "i", "j"), F.lit(groups)).alias("part"))
+
+    def run(group: pa.Table) -> pa.Table:
+        col = {c: group.column(c).to_numpy() for c in ("h", "node", "own", "i", "j", "comp", "low", "high", "slack")}
+        bits = np.stack([group.column(c).to_numpy() for c in S], axis=1).view(np.uint64)
+        order = np.lexsort((col["j"], col["i"], col["h"]))
+        new = np.any([np.diff(col[c][order]) != 0 for c in ("h", "i", "j")], axis=0)
+        found = [pairs for rows in np.split(order, np.flatnonzero(new) + 1) for pairs in block_pairs(col, bits, rows)]
+        if not found:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("x", "y", "n")})
+        pairs, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+        return pa.table({"x": pairs[0], "y": pairs[1], "n": n.astype(np.int64)})
+
+    return dealt.join(full, "node").groupBy("part").applyInArrow(run, "x long, y long, n long")
+
+
+def block_pairs(col: dict[str, np.ndarray], bits: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of nodes of one pair of blocks that pass the bound, in steps of 64 nodes against all others."""
+    mine = col["own"][rows] == col["i"][rows]
+    left, right = rows[mine], rows if col["i"][rows[0]] == col["j"][rows[0]] else rows[~mine]
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        (ca, cb), (la, lb), (ha, hb), (sa, sb) = ((col[c][x][:, None], col[c][right][None, :]) for c in ("comp", "low", "high", "slack"))
+        r, c = np.nonzero((ca != cb) & (4 * np.minimum(ha, hb) >= 3 * np.maximum(la, lb)))
+        both = np.bitwise_count(bits[x[r]] & bits[right[c]]).sum(1, dtype=np.int64)
+        most = np.minimum.reduce([both + np.minimum(sa[r, 0], sb[0, c]), ha[r, 0], hb[0, c]])
+        good = DEN * most >= NUM * (la[r, 0] + lb[0, c])
+        p, q = col["node"][x[r[good]]], col["node"][right[c[good]]]
+        yield np.stack([np.minimum(p, q), np.maximum(p, q)])
 
 
 def crossings(placed: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of sets of different components that share a hash and that the bound allows: pairs of components first,
-    by their combined bitmaps and ranges, then the sets of those that remain."""
-    member = sets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    used = member.join(placed.select("comp").distinct(), "comp", "left_semi")
-    nodes = durable(used.groupBy(F.col("comp").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), *[F.expr(f"bit_or({c})").alias(c) for c in S]), "nodes")
-    one = placed.select("h", "comp").distinct()
-    pairs = one.select("h", F.col("comp").alias("x")).join(one.select("h", F.col("comp").alias("y")), "h").where("x < y").select("x", "y").distinct()
-    left = durable(_pruned(pairs, nodes), "crossings")
-    at = placed.select("h", F.col("sid").alias("set_y"), F.col("comp").alias("y"))
-    return placed.join(left, F.col("comp") == F.col("x")).select("h", F.col("sid").alias("set_x"), "y").join(at, ["h", "y"]).select(F.col("set_x").alias("x"), F.col("set_y").alias("y")).distinct()
+    """All pairs (x, y) of sets of different components that share a hash of their prefixes and that the bounds allow: nodes
+    first, by their combined bitmaps and ranges, then the sets of the nodes that remain."""
+    members, nodes = nodes_of(placed, sets, roots)
+    one = placed.join(members, "sid").select("h", "node", members["comp"]).distinct()
+    by = Window.partitionBy("h")
+    held = durable(one.withColumn("n", F.count("*").over(by)).withColumn("least", F.min("node").over(by)), "held")
+    few = held.where(F.col("n") <= FEW)
+    side = lambda c: few.select("h", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    pairs = side("x").join(side("y"), "h").where("x < y AND comp_x <> comp_y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    # a pair may meet under hashes of both kinds; what the second kind leaves out fails the bound in any case
+    met = pairs.union(crowds(held.where(F.col("n") > FEW), nodes)).groupBy("x", "y").agg(F.sum("n").alias("n"))
+    left = durable(_pruned(met, nodes), "crossings")
+    leaf = left.join(members.select(F.col("node").alias("x"), F.col("sid").alias("p")), "x").join(members.select(F.col("node").alias("y"), F.col("sid").alias("q")), "y")
+    leaf = leaf.select(F.col("p").alias("x"), F.col("q").alias("y"))
+    full = lambda c: sets.select(F.col("node").alias(c), F.struct("low", "high", "slack", *S).alias(f"node_{c}"))
+    return leaf.join(full("x"), "x").join(full("y"), "y").where(bound("node_x", "node_y")).select("x", "y")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -353,7 +425,11 @@ def join(docs: DataFrame) -> DataFrame:
     rows without an id link others, but give no component its id. Other columns are ignored; no rows give no rows.
     Sets are told apart, and shingles compared, by 64-bit hashes.
     """
-    docs = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession):
+        return durable(_join(docs.select("doc_id", "text")), "components", keep=True)
+
+
+def _join(docs: DataFrame) -> DataFrame:
     seen = durable(survey(docs), "survey")
     rows = seen.where("n IS NOT NULL").select("doc_id", "n", "sid", "least")
     common = np.zeros(COUNTERS, bool)
@@ -363,12 +439,16 @@ def join(docs: DataFrame) -> DataFrame:
     sigs = durable(signatures(docs, common, family), "signatures")
     sets = sigs.select(F.col("sid").alias("node"), F.col("n").alias("low"), F.col("n").alias("high"), "slack", *S).dropDuplicates(["node"])
     home = durable(families(sigs), "families")
-    listed = durable(_placed(sigs.select("sid", F.explode("prefix").alias("h")).distinct(), home.select(F.col("a").alias("node"), F.col("b").alias("root"))), "listed")
-    near = verify(durable(_pruned(chains(listed), sets), "near"), docs)
+    # hashes that more than one set has come first, on ids alone, as most hashes have but one; components are looked up after
+    by = Window.partitionBy("h")
+    shared = sigs.select("sid", F.explode("prefix").alias("h")).withColumn("p", F.min("sid").over(by)).withColumn("q", F.max("sid").over(by))
+    shared = durable(shared.where("p < q").select("h", "sid").distinct(), "shared")
+    listed = durable(_placed(shared, home.select(F.col("a").alias("node"), F.col("b").alias("root"))), "listed")
+    near = verify(durable(_pruned(chains(listed), sets), "near"), docs, rows)
     links = home.select(F.col("a").alias("x"), F.col("b").alias("y")).union(near)
     roots = components(links, "x", "y")
     placed = durable(_placed(listed.select("h", "sid"), roots), "placed")
-    far = verify(durable(_pruned(crossings(placed, sets, roots), sets), "far"), docs)
+    far = verify(durable(crossings(placed, sets, roots), "far"), docs, rows)
     if not far.isEmpty():
         roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(far), "x", "y")
     known = rows.join(roots, rows.sid == roots.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
