@@ -9,7 +9,11 @@ import numpy as np
 
 #: Elements whose content is never text of the page.
 DROPPED = ("script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "math", "iframe", "object", "canvas", "audio", "video", "datalist")
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Attributes as a browser reads them: a quote opens a value only right after '='.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>|<({'|'.join(DROPPED)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>|<[!?/][^>]*>", re.S | re.I
+)
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

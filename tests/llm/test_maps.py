@@ -214,6 +214,19 @@ def test_extraction_of_odd_pages(spark):
     assert [r.text for r in out if r.page_id == 5] == [want, want]
 
 
+def test_text_after_odd_tags_stays():
+    def blocks(source):
+        return [t for t in dom.Page(source).text if t]
+
+    for name in ("video-player", "title-bar", "audio-player", "svg-icon", "object_x", "select:x"):
+        assert blocks(f"<article><p>one</p><{name} src=x></{name}><p>two</p><p>three</p></article>") == ["one", "two", "three"]
+    for tag in ('<svg class="i"/>', "<svg/>", "<math />", "<svg aria-label='a > b'\n/>", "<SVG width=1 />"):
+        assert blocks(f"<p>a</p>{tag}<p>b</p>") == ["a", "b"]
+    for tag in ("<p title=Tom's>", "<p don't>", '<p title="x"">', "<p a=b='c>", "<p title = 'x > y' id=q>"):
+        assert blocks(f"<p>a</p>{tag}b</p><p>it's \"c\"</p>") == ["a", "b", "it's \"c\""]
+    assert blocks('<p>a</p><svg class="i"><text>x</text></svg><video src=x>y</video><title>z</title><script>"<p>q</p>"</script><p>b</p>') == ["a", "b"]
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
