@@ -30,8 +30,12 @@ DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NAME = re.compile(r"[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[/_=+-]*")
+#: Parts of a run between separators; a UUID is one part.
+PART = re.compile(rf"{UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 #: Below so many characters a token, a run of at least 20 characters counts as random.
 RATIO = 2.0
+#: Least length of a run or random stretch, and of a part that such a stretch is grown from.
+LEAST, CORE = 20, 8
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,13 +65,42 @@ def is_known(run: str) -> bool:
     return bool(UUID.fullmatch(run) or NAME.fullmatch(run))
 
 
+def random_parts(run: str, tokens: Callable[[str], int], ratio: float = RATIO) -> list[tuple[int, int]]:
+    """Stretches of 20 or more characters of neighbouring parts below the ratio, each with a part that can't be a word.
+
+    So a random string is found behind a path or a long name, with which the whole run passes the ratio.
+    """
+    out, first, last, core = [], 0, 0, False
+    for m in [*PART.finditer(run), None]:
+        joins = is_core = False
+        if m:
+            part = m[0]
+            cost = ratio * tokens(part)
+            is_core = len(part) >= CORE and not is_known(part) and len(part) < cost
+            # short neighbours may be pieces of a key with separators in it; digits are dates and ids
+            joins = is_core or len(part) < LEAST and len(part) <= cost and not part.isdigit()
+        if joins:
+            first = first if last else m.start()
+            last, core = m.end(), core or is_core
+            continue
+        if core and last - first >= LEAST:
+            out.append((first, last))
+        first, last, core = 0, 0, False
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[str], int], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Runs of 20 or more characters with fewer than ``ratio`` characters a token that touch no base span."""
+    """Runs of 20 or more characters with fewer than ``ratio`` characters a token, or else their parts with fewer, that
+    touch no base span."""
     out = []
     for m in RUN.finditer(text):
         run, (a, b) = m[0], m.span()
-        if not is_known(run) and not any(s < b and a < e for s, _, e in base) and len(run) < ratio * tokens(run):
+        if is_known(run) or any(s < b and a < e for s, _, e in base):
+            continue
+        if len(run) < ratio * tokens(run):
             out.append((a, 3, b))
+        else:
+            out += [(a + s, 3, a + e) for s, e in random_parts(run, tokens, ratio)]
     return out
 
 

@@ -92,6 +92,32 @@ def test_secret_scan(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def counter():
+    enc = secrets.encoding(None)
+    return lambda run: len(enc.encode_ordinary(run))
+
+
+def test_keys_behind_paths_and_names():
+    rng, cost = random.Random(8), counter()
+    for before in ("https://hooks.example.com/services/internal/notifications/production/", "https://example.com/account/reset/confirm/", "the_internationalisation_of_long_names-"):
+        for n in (20, 24, 32, 40):
+            for _ in range(40):
+                key = "".join(rng.choices(string.ascii_letters, k=n - 2)) + "7x"
+                text = f"see {before}{key}/information there"
+                clean = secrets.redact_text(text, cost)
+                assert key not in clean and key[-8:] not in clean and clean.endswith(" there"), text
+    missed = 0
+    for _ in range(200):
+        key = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=39)) + "7"
+        missed += secrets.redact_text(f"https://hooks.example.com/services/internal/notifications/production/{key}", cost).count(key[10:30])
+    assert not missed
+    for plain in (
+        "https://example.com/users/123E4567-E89B-12D3-A456-426614174000/information/settings", "https://example.com/account/2024/05/12/1234567890123/confirmation",
+        "usr/share/documentation/x86_64-linux-gnu/libraries/utf8/encoding", "https://example.com/archive/commit/" + "AB12" * 10 + "/information/of/the/changes",
+    ):
+        assert secrets.random_spans(plain, [], cost) == [], plain
+
+
 def test_rules_policies_and_ablation(spark):
     good = "It was a quiet evening by the river and the old boat drifted slowly past. " * 1
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
