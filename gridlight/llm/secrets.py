@@ -89,18 +89,32 @@ def random_parts(run: str, tokens: Callable[[str], int], ratio: float = RATIO) -
     return out
 
 
+def stretches(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What base spans, sorted by start, leave of a..b."""
+    out = []
+    for s, _, e in base:
+        if s >= b:
+            break
+        if e > a:
+            if s > a:
+                out.append((a, s))
+            a = e
+    return [*out, (a, b)] if a < b else out
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], tokens: Callable[[str], int], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Runs of 20 or more characters with fewer than ``ratio`` characters a token, or else their parts with fewer, that
-    touch no base span."""
+    """What is left of runs without base spans, in stretches of 20 or more characters with fewer than ``ratio`` characters a
+    token, or else their parts with fewer."""
     out = []
     for m in RUN.finditer(text):
-        run, (a, b) = m[0], m.span()
-        if is_known(run) or any(s < b and a < e for s, _, e in base):
-            continue
-        if len(run) < ratio * tokens(run):
-            out.append((a, 3, b))
-        else:
-            out += [(a + s, 3, a + e) for s, e in random_parts(run, tokens, ratio)]
+        for a, b in stretches(*m.span(), base):
+            run = text[a:b]
+            if b - a < LEAST or is_known(run):
+                continue
+            if len(run) < ratio * tokens(run):
+                out.append((a, 3, b))
+            else:
+                out += [(a + s, 3, a + e) for s, e in random_parts(run, tokens, ratio)]
     return out
 
 

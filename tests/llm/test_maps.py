@@ -118,6 +118,20 @@ def test_keys_behind_paths_and_names():
         assert secrets.random_spans(plain, [], cost) == [], plain
 
 
+def test_keys_beside_base_spans():
+    rng, cost = random.Random(9), counter()
+    for before, after in (("1234567890123456789-", ""), ("AKIA" + "ABCDEFGHIJKLMNOP" + "/", ""), ("", "-1234567890123456789"), ("1234567890123456-", "/1234567890123456")):
+        key = "x7" + "".join(rng.choices(string.ascii_letters + string.digits, k=36)) + "Zq"
+        text = f"see {before}{key}{after} there"
+        base = secrets.base_spans(text)
+        more = secrets.random_spans(text, base, cost)
+        assert base and any(a <= text.index(key) and text.index(key) + len(key) <= b for a, _, b in more), text
+        assert not any(s < b and a < e for s, _, e in base for a, _, b in more) and key[-8:] not in secrets.redact_text(text, cost)
+    plain = "see 1234567890123456789-information_of_the_changes there"
+    assert secrets.random_spans(plain, secrets.base_spans(plain), cost) == []
+    assert secrets.stretches(2, 9, [(0, 2, 1), (1, 2, 3), (4, 0, 6), (5, 2, 6), (12, 2, 30)]) == [(3, 4), (6, 9)]
+
+
 def test_rules_policies_and_ablation(spark):
     good = "It was a quiet evening by the river and the old boat drifted slowly past. " * 1
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
