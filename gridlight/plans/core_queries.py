@@ -212,6 +212,14 @@ def covariance(spark, sf):
     return pca.covariance(t.vectors(spark, sf), "v", 8).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("cov")).alias("cov"))
 
 
+@query()
+def covariance_all(spark, sf):
+    """Covariances of all components; the statement of covariance is of the first eight."""
+    _, _, cov = pca.moments(t.vectors(spark, sf), "v")
+    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]
+    return spark.createDataFrame(rows, "i long, j long, cov double").select("i", "j", r6(F.col("cov")).alias("cov"))
+
+
 def _fitted(spark, sf, k=18):
     train = splits.stratified_split(t.images(spark, sf), "image_id", "label")
     return train, pca.fit(train.where("split = 'train'"), "pixels", k)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from gridlight.plans import core_queries
@@ -21,6 +22,14 @@ def test_runs(spark, name):
     assert core_queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_covariance_of_all_components(spark, con):
+    v = np.array([r[0] for r in con.sql("SELECT embedding FROM embeddings").fetchall()], np.float64)
+    want = np.cov(v, rowvar=False)
+    got = {(r.i, r.j): r.cov for r in core_queries.QUERIES["covariance_all"](spark, SF).collect()}
+    assert v.shape[1] == 64 and set(got) == {(i, j) for i in range(64) for j in range(i, 64)}
+    assert all(abs(c - want[k]) < 1e-6 for k, c in got.items())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
