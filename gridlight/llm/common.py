@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
-import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,12 +19,25 @@ SLICE, BATCH = 512, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session, whose executors
+    are in the driver's process, uses the driver's temporary folder; any other master is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{tempfile.gettempdir()}/checkpoints"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    import tempfile
+
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -37,8 +50,14 @@ def scratch(spark: SparkSession):
         paths = _made.get() or []
         _made.reset(token)
         for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(spark, path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that durable() wrote, once nothing lazy reads them any more."""
+    for t in tables:
+        if path := _places.pop(t, None):
+            _delete(t.sparkSession, path)
 
 
 def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -50,7 +69,9 @@ def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     made = _made.get()
     if made is not None and not keep:
         made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
 
 
 def bounded(spark: SparkSession) -> None:

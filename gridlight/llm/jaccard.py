@@ -6,17 +6,21 @@ threshold. Two levels of the join are distributed:
 
 - Sets with the same smallest hash meet in blocks of bounded size; a tree over each block finds their links, passing
   over nodes that are already connected, and leaves one component per family of near copies.
-- Every set is also listed under the first hashes of its prefix, of which two similar sets share at least one. Under each
-  hash, components stand as tree nodes; pairs of nodes that survive the bound are followed to their sets, and those
-  that survive it again are compared hash by hash.
-
-Prefixes put hashes that very many documents share last, so that a common passage brings no crowd together. That order is
-read off a table of fixed size; any order gives the same links.
+- Every set is also listed under the first hashes of its prefix, of which two similar sets share at least one, with its size
+  and the largest size that it can be linked with there. Each set is first tried with one hub per hash and size, so that
+  families that a crowd hides become one component. Then, under each hash, sets of different components meet through cells
+  that hold ranges of size and reach; what the ranges allow is taken to nodes with combined bitmaps, and pairs of nodes that
+  survive the bound are followed to their sets. Sets that survive it again are compared hash by hash.
+
+Prefixes put hashes that very many documents share last, so that a common passage brings no crowd together: where two sets share
+a passage and little else, their first common hash leaves too few behind it. That order is read off a table of fixed size; any
+order gives the same links.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Iterator
 
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import durable, scratch
+from gridlight.llm.common import durable, release, scratch
 from gridlight.llm.links import components
 
 SHINGLE = 5
@@ -34,10 +38,11 @@ SHINGLE = 5
 NUM, DEN = 3, 7
 #: Bitmaps have 64 * LONGS bits. Counters of the table of common hashes. Members of a block, of a leaf, children of a node.
 LONGS, COUNTERS, BLOCK, LEAF, FAN = 32, 1 << 20, 512, 8, 8
-#: Nodes under a hash that are paired by a join; more are paired in blocks, some DEALT rows to a task's group.
-FEW, DEALT = 8, 10_000
-#: Documents from which on a hash counts as common. Set ids that a task remembers so as not to send a set twice.
-COMMON, KEPT = 64, 300_000
+#: Cells that sizes which can be linked are divided into.
+GRID = 4
+#: A hash counts as common from so many documents on, and from one in so many. Set ids that a task remembers so as not to send
+#: a set twice.
+COMMON, SHARE, KEPT = 64, 100_000, 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -203,37 +208,40 @@ def _arrow(kind: str) -> pa.DataType:
 S = [f"s{k}" for k in range(LONGS)]
 
 
-def signatures(docs: DataFrame, common: np.ndarray, family: DataFrame) -> DataFrame:
-    """Per set (once per task): sid, n, least, slack, prefix, whole (all its hashes, of a family), s0.. (its bitmap)."""
-    keys = maybe(family, "least")
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(sid, set) of texts that have shingles; of the sets that a task remembers, each once."""
+    seen: set[int] = set()
+    for _, sets in _texts(batches):
+        new = []
+        for s in sets:
+            sid = set_id(s)
+            if len(s) and sid not in seen:
+                new.append((sid, s))
+                if len(seen) < KEPT:
+                    seen.add(sid)
+        yield new
+
+
+def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """Per set (once per task): sid, n, slack, prefix, early (how many hashes of the prefix are not common), s0.. (its bitmap)."""
 
     def run(batches):
-        seen: set[int] = set()
-        for _, sets in _texts(batches):
-            new = []
-            for s in sets:
-                sid = set_id(s)
-                if len(s) and sid not in seen:
-                    new.append((sid, s))
-                    if len(seen) < KEPT:
-                        seen.add(sid)
-            prefixes, wholes, maps = [], [], []
-            family_hits = keys.many(np.array([s[0] for _, s in new], np.uint64).view(np.int64))
-            for (_, s), hit in zip(new, family_hits.tolist(), strict=True):
+        for new in _once(batches):
+            prefixes, early, maps = [], [], []
+            for _, s in new:
                 late = common[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 p = prefix_length(len(s))
                 prefixes.append(s[:p] if not late[:p].any() else np.concatenate([s[~late], s[late]])[:p])
-                wholes.append(s if hit else s[:0])
+                early.append(min(p, len(s) - int(late.sum())))
                 maps.append(bitmap(s))
             grid = np.array(maps, np.uint64).reshape(len(new), LONGS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in new], pa.int64()), pa.array([len(s) for _, s in new], pa.int64()), pa.array([int(s[0].view(np.int64)) for _, s in new], pa.int64()),
-                 pa.array([len(s) - int(np.bitwise_count(m).sum()) for (_, s), m in zip(new, maps, strict=True)], pa.int64()), _lists(prefixes), _lists(wholes), *[pa.array(np.ascontiguousarray(grid[:, k])) for k in range(LONGS)]],
-                names=["sid", "n", "least", "slack", "prefix", "whole", *S],
+                [pa.array([x for x, _ in new], pa.int64()), pa.array([len(s) for _, s in new], pa.int64()), pa.array([len(s) - int(np.bitwise_count(m).sum()) for (_, s), m in zip(new, maps, strict=True)], pa.int64()),
+                 _lists(prefixes), pa.array(early, pa.int32()), *[pa.array(np.ascontiguousarray(grid[:, k])) for k in range(LONGS)]],
+                names=["sid", "n", "slack", "prefix", "early", *S],
             )
 
-    ddl = "sid long, n long, least long, slack long, prefix array<long>, whole array<long>" + "".join(f", {c} long" for c in S)
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").mapInArrow(run, "sid long, n long, slack long, prefix array<long>, early int" + "".join(f", {c} long" for c in S))
 
 
 class Maybe:
@@ -266,12 +274,26 @@ def maybe(keys: DataFrame, column: str) -> Maybe:
     return Maybe(words)
 
 
-def families(sigs: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """sid, whole: all hashes of the sets in needed (sid), made again from the texts of one document per set; rows has doc_id and
+    sid. A set may come more than once where documents share an id."""
+    keys = rows.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min(F.xxhash64("doc_id")).alias("key")).select("key").distinct()
+
+    def run(batches):
+        for _, sets in _texts(batches):
+            full = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in full], pa.int64()), _lists(full)], names=["sid", "whole"])
+
+    texts = docs.select(F.xxhash64("doc_id").alias("key"), "text").join(keys, "key", "left_semi")
+    return texts.select("key", "text").mapInArrow(run, "sid long, whole array<long>")
+
+
+def families(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b per set of a family: linked sets of one block have the same b."""
-    whole = sigs.where("size(whole) > 0").select("sid", "least", "whole")
-    crowded = whole.groupBy("least").count().where(F.col("count") > BLOCK)
-    salt = F.pmod(F.xxhash64("sid"), F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))
-    dealt = whole.join(crowded, "least", "left").select("least", salt.alias("salt"), "sid", "whole")
+    family = rows.where("sid IS NOT NULL").groupBy("least").agg(F.min("sid").alias("p"), F.max("sid").alias("q"), F.count("*").alias("n")).where("p < q").select("least", "n")
+    member = durable(rows.select("sid", "least").join(family, "least").select("sid", F.ceil(F.col("n") / BLOCK).alias("parts")).distinct(), "family")
+    whole = whole_sets(docs, rows, member.select("sid")).join(member, "sid")
+    dealt = whole.select(F.element_at("whole", 1).alias("least"), F.pmod(F.xxhash64("sid"), "parts").alias("salt"), "sid", "whole")
 
     def run(group: pa.Table) -> pa.Table:
         ids, first = np.unique(group.column("sid").to_numpy(), return_index=True)
@@ -287,22 +309,11 @@ def families(sigs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (x, y) of set ids that are linked, by all their hashes, which are made again from the texts of one document
-    per set; rows has doc_id and sid."""
+    """The pairs (x, y) of set ids that are linked, by all their hashes."""
     if pairs.isEmpty():
         return pairs
     needed = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    keys = maybe(rows.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min(F.xxhash64("doc_id")).alias("key")), "key")
-
-    def run(batches):
-        for batch in batches:
-            mine = batch.filter(pa.array(keys.many(batch.column(0).to_numpy()), pa.bool_()))
-            for _, sets in _texts([mine]):
-                full = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in full], pa.int64()), _lists(full)], names=["sid", "whole"])
-
-    sets = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "sid long, whole array<long>")
-    sets = durable(sets.join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    sets = durable(whole_sets(docs, rows, needed).join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("whole").alias("p")), "x").join(sets.select(F.col("sid").alias("y"), F.col("whole").alias("q")), "y")
     return both.where(DEN * F.size(F.array_intersect("p", "q")) >= NUM * (F.size("p") + F.size("q"))).select("x", "y")
 
@@ -315,107 +326,89 @@ def bound(x: str, y: str) -> Column:
     return (4 * F.least(high(x), high(y)) >= 3 * F.greatest(low(x), low(y))) & (DEN * most >= NUM * (low(x) + low(y)))
 
 
-def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (x, y, n: hashes that their prefixes share) of node ids that may have linked sets; nodes has node, low, high,
-    slack and the bitmap.
+def allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (x, y) of nodes that pass the bound; nodes has node, low, high, slack and the bitmap."""
+    full = lambda c: nodes.select(F.col("node").alias(c), F.struct("low", "high", "slack", *S).alias(f"node_{c}"))
+    return pairs.join(full("x"), "x").join(full("y"), "y").where(bound("node_x", "node_y")).drop("node_x", "node_y")
+
+
+def listing(sigs: DataFrame) -> DataFrame:
+    """h, sid, n, reach of prefix hashes that more than one set has; of common hashes all, as they are known to be shared.
 
-    First by n: of two sets the prefix that ends earlier in the common order holds all that they share up to its end, so they
-    share at most n more than what lies beyond a prefix. Then by bitmaps, which few pairs need.
+    reach is the largest set that a set can be linked with if this is the first hash, in the common order, that both have: they
+    share no more than what each has from there on. So links are found at hashes where n and reach of both sides allow them.
     """
-    ends = nodes.select("node", "low", "high")
-    side = lambda c: ends.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
-    sized = pairs.join(side("x"), "x").join(side("y"), "y")
-    beyond = F.ceil(F.greatest("high_x", "high_y") * 3 / 4) - 1
-    near = sized.where((DEN * (F.col("n") + beyond) >= NUM * (F.col("low_x") + F.col("low_y"))) & (4 * F.least("high_x", "high_y") >= 3 * F.greatest("low_x", "low_y"))).select("x", "y")
-    full = lambda c: nodes.select(F.col("node").alias(c), F.struct("low", "high", "slack", *S).alias(f"node_{c}"))
-    return near.join(full("x"), "x").join(full("y"), "y").where(bound("node_x", "node_y")).select("x", "y")
+    reach = (F.floor(DEN * (F.col("n") - F.col("pos")) / NUM) - F.col("n")).alias("reach")
+    listed = lambda part, first: sigs.select("sid", "n", F.posexplode(part).alias("at", "h")).withColumn("pos", F.col("at") + first).select("h", "sid", "n", reach)
+    by = Window.partitionBy("h")
+    rare = listed(F.slice("prefix", F.lit(1), F.col("early")), F.lit(0)).withColumn("p", F.min("sid").over(by)).withColumn("q", F.max("sid").over(by))
+    rare = rare.where("p < q").select("h", "sid", "n", "reach").distinct()
+    late = sigs.where("early < size(prefix)").select("sid", "n", "prefix", "early")
+    late = late.select("sid", "n", "early", F.posexplode(F.slice("prefix", F.col("early") + 1, F.size("prefix"))).alias("at", "h")).withColumn("pos", F.col("at") + F.col("early"))
+    return rare.union(late.select("h", "sid", "n", reach).distinct())
 
 
 def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(h, sid, comp) of the hashes that stand in more than one component."""
-    by = Window.partitionBy("h")
-    known = listed.join(roots.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid", "left").select("h", "sid", F.coalesce("comp", "sid").alias("comp"))
-    return known.withColumn("p", F.min("comp").over(by)).withColumn("q", F.max("comp").over(by)).where("p < q").select("h", "sid", "comp")
-
-
-def chains(placed: DataFrame) -> DataFrame:
-    """Pairs (x, y, n) of sets to try first: under each hash, neighbours in the order of components, and of two components the
-    pair that is met most often. Fewer than there are places, however many components a hash has."""
-    one = placed.groupBy("h", "comp").agg(F.min("sid").alias("sid"))
-    by = Window.partitionBy("h").orderBy("comp")
-    near = one.select(F.lag("comp").over(by).alias("comp_x"), F.lag("sid").over(by).alias("x"), F.col("comp").alias("comp_y"), F.col("sid").alias("y")).where("x IS NOT NULL")
-    met = near.groupBy("comp_x", "comp_y", "x", "y").agg(F.count("*").alias("n"))
-    return met.groupBy("comp_x", "comp_y").agg(F.max(F.struct("n", "x", "y")).alias("e")).select("e.x", "e.y", "e.n")
-
-
-def nodes_of(placed: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sid, node, comp) of the sets that stand in placed, and the nodes: FAN * 2 sets of a component at most, about."""
-    used = sets.withColumnRenamed("node", "sid").join(placed.select("sid").distinct(), "sid", "left_semi")
-    member = used.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    crowded = member.groupBy("comp").count().where(F.col("count") > 2 * FAN)
-    part = F.pmod(F.xxhash64("sid"), F.coalesce(F.ceil(F.col("count") / (2 * FAN)), F.lit(1)))
-    member = member.join(crowded, "comp", "left").withColumn("part", part)
-    nodes = member.groupBy("comp", "part").agg(F.min("sid").alias("node"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), *[F.expr(f"bit_or({c})").alias(c) for c in S])
-    nodes = durable(nodes, "nodes")
-    return durable(member.select("sid", "comp", "part").join(nodes.select("comp", "part", "node"), ["comp", "part"]).select("sid", "node", "comp"), "members"), nodes
-
-
-def crowds(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of nodes of different components that pass the bound, and n, under how many hashes, for hashes that many nodes
-    have (held: h, node, n of them, least of them). Nodes meet in pairs of blocks of bounded size; only what passes leaves the
-    task. Hashes of one passage have the same nodes, so the same least one, and are counted in one task."""
-    full = nodes.select("node", "comp", "low", "high", "slack", *S)
-    dealt = held.withColumn("blocks", F.ceil(F.col("n") / (2 * BLOCK))).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    groups = held.count() // DEALT + 1
-    dealt = dealt.select("h", "node", "own", "i", "j", F.pmod(F.xxhash64("least", "i", "j"), F.lit(groups)).alias("part"))
+    """listed with comp, the component that a set is in so far."""
+    return listed.join(roots.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
-    def run(group: pa.Table) -> pa.Table:
-        col = {c: group.column(c).to_numpy() for c in ("h", "node", "own", "i", "j", "comp", "low", "high", "slack")}
-        bits = np.stack([group.column(c).to_numpy() for c in S], axis=1).view(np.uint64)
-        order = np.lexsort((col["j"], col["i"], col["h"]))
-        new = np.any([np.diff(col[c][order]) != 0 for c in ("h", "i", "j")], axis=0)
-        found = [pairs for rows in np.split(order, np.flatnonzero(new) + 1) for pairs in block_pairs(col, bits, rows)]
-        if not found:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("x", "y", "n")})
-        pairs, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-        return pa.table({"x": pairs[0], "y": pairs[1], "n": n.astype(np.int64)})
-
-    return dealt.join(full, "node").groupBy("part").applyInArrow(run, "x long, y long, n long")
-
-
-def block_pairs(col: dict[str, np.ndarray], bits: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of nodes of one pair of blocks that pass the bound, in steps of 64 nodes against all others."""
-    mine = col["own"][rows] == col["i"][rows]
-    left, right = rows[mine], rows if col["i"][rows[0]] == col["j"][rows[0]] else rows[~mine]
-    for at in range(0, len(left), 64):
-        x = left[at : at + 64]
-        (ca, cb), (la, lb), (ha, hb), (sa, sb) = ((col[c][x][:, None], col[c][right][None, :]) for c in ("comp", "low", "high", "slack"))
-        r, c = np.nonzero((ca != cb) & (4 * np.minimum(ha, hb) >= 3 * np.maximum(la, lb)))
-        both = np.bitwise_count(bits[x[r]] & bits[right[c]]).sum(1, dtype=np.int64)
-        most = np.minimum.reduce([both + np.minimum(sa[r, 0], sb[0, c]), ha[r, 0], hb[0, c]])
-        good = DEN * most >= NUM * (la[r, 0] + lb[0, c])
-        p, q = col["node"][x[r[good]]], col["node"][right[c[good]]]
-        yield np.stack([np.minimum(p, q), np.maximum(p, q)])
+
+def band(n: str) -> Column:
+    """Sets that can be linked are of one band or of neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / math.log(4 / 3)).cast("int")
+
+
+def hubs(placed: DataFrame) -> DataFrame:
+    """Pairs (x, y) to try first: under each hash, every set with the one of its size, and of the next smaller sizes, that
+    reaches furthest; of two components the pair that is met most often. Fewer than twice the places."""
+    held = placed.withColumn("band", band("n"))
+    best = held.groupBy("h", "band").agg(F.max(F.struct("reach", F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))).alias("hub")).select("h", "band", "hub.*").withColumnRenamed("reach", "reach_y")
+    both = held.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    met = both.join(best, ["h", "band"]).where("comp <> comp_y AND n <= reach_y AND n_y <= reach")
+    met = met.groupBy("comp", "comp_y", F.col("sid").alias("x"), "y").agg(F.count("*").alias("n"))
+    return met.groupBy(F.least("comp", "comp_y").alias("p"), F.greatest("comp", "comp_y").alias("q")).agg(F.max(F.struct("n", "x", "y")).alias("e")).select("e.x", "e.y")
+
+
+def meetings(placed: DataFrame) -> DataFrame:
+    """All pairs (x, y) of sets of different components that some hash allows: where the sizes are within reach of each other.
+
+    Under a hash, sets stand in cells of similar size and reach. Cells are nodes that hold ranges of both, and pairs of cells that
+    the ranges rule out are never opened; there are at most some hundred cells to a hash, however many sets it has.
+    """
+    fine = math.log(4 / 3) / GRID
+    held = placed.withColumn("cell", F.struct(F.floor(F.log("n") / fine).alias("n"), F.floor(F.log("reach") / fine).alias("reach")))
+    cells = held.groupBy("h", "cell").agg(F.min("n").alias("low"), F.max("reach").alias("reach"), F.min("comp").alias("p"), F.max("comp").alias("q"))
+    crossed = cells.groupBy("h").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("h")
+    cells = cells.join(crossed, "h", "left_semi")
+    side = lambda c: cells.select("h", F.col("cell").alias(f"cell_{c}"), F.col("low").alias(f"low_{c}"), F.col("reach").alias(f"reach_{c}"), F.col("p").alias(f"p_{c}"), F.col("q").alias(f"q_{c}"))
+    open_ = side("x").join(side("y"), "h").where("cell_x <= cell_y AND low_x <= reach_y AND low_y <= reach_x AND NOT (p_x = q_y AND q_x = p_y)").select("h", "cell_x", "cell_y")
+    one = lambda c: held.select("h", F.col("cell").alias(f"cell_{c}"), F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("reach").alias(f"reach_{c}"), F.col("comp").alias(f"comp_{c}"))
+    both = open_.join(one("x"), ["h", "cell_x"]).join(one("y"), ["h", "cell_y"])
+    both = both.where("(cell_x < cell_y OR x < y) AND comp_x <> comp_y AND n_x <= reach_y AND n_y <= reach_x")
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def nodes_of(pairs: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sid, node) of the sets in pairs, and the nodes above them: sets of one component and of similar size, FAN * 2 or so."""
+    used = sets.join(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "node", "left_semi").withColumnRenamed("node", "sid")
+    member = used.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).withColumn("band", band("low"))
+    crowded = member.groupBy("comp", "band").agg(F.ceil(F.count("*") / (2 * FAN)).alias("parts"))
+    member = member.join(crowded, ["comp", "band"]).withColumn("part", F.pmod(F.xxhash64("sid"), "parts"))
+    nodes = durable(member.groupBy("comp", "band", "part").agg(F.min("sid").alias("node"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), *[F.expr(f"bit_or({c})").alias(c) for c in S]), "nodes")
+    return durable(member.select("sid", "comp", "band", "part").join(nodes.select("comp", "band", "part", "node"), ["comp", "band", "part"]).select("sid", "node"), "members"), nodes
 
 
 def crossings(placed: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (x, y) of sets of different components that share a hash of their prefixes and that the bounds allow: nodes
-    first, by their combined bitmaps and ranges, then the sets of the nodes that remain."""
-    members, nodes = nodes_of(placed, sets, roots)
-    one = placed.join(members, "sid").select("h", "node", members["comp"]).distinct()
-    by = Window.partitionBy("h")
-    held = durable(one.withColumn("n", F.count("*").over(by)).withColumn("least", F.min("node").over(by)), "held")
-    few = held.where(F.col("n") <= FEW)
-    side = lambda c: few.select("h", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    pairs = side("x").join(side("y"), "h").where("x < y AND comp_x <> comp_y").groupBy("x", "y").agg(F.count("*").alias("n"))
-    # a pair may meet under hashes of both kinds; what the second kind leaves out fails the bound in any case
-    met = pairs.union(crowds(held.where(F.col("n") > FEW), nodes)).groupBy("x", "y").agg(F.sum("n").alias("n"))
-    left = durable(_pruned(met, nodes), "crossings")
-    leaf = left.join(members.select(F.col("node").alias("x"), F.col("sid").alias("p")), "x").join(members.select(F.col("node").alias("y"), F.col("sid").alias("q")), "y")
-    leaf = leaf.select(F.col("p").alias("x"), F.col("q").alias("y"))
-    full = lambda c: sets.select(F.col("node").alias(c), F.struct("low", "high", "slack", *S).alias(f"node_{c}"))
-    return leaf.join(full("x"), "x").join(full("y"), "y").where(bound("node_x", "node_y")).select("x", "y")
+    """The pairs (x, y) of meetings() that bitmaps allow: pairs of nodes first, then the pairs of sets below those that remain."""
+    met = durable(meetings(placed), "met")
+    if met.isEmpty():
+        return met
+    members, nodes = nodes_of(met, sets, roots)
+    above = met.join(members.select(F.col("sid").alias("x"), F.col("node").alias("p")), "x").join(members.select(F.col("sid").alias("y"), F.col("node").alias("q")), "y")
+    above = durable(above, "above")
+    good = allowed(above.select(F.col("p").alias("x"), F.col("q").alias("y")).distinct(), nodes)
+    below = above.join(good.select(F.col("x").alias("p"), F.col("y").alias("q")), ["p", "q"], "left_semi").select("x", "y")
+    return allowed(below, sets)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -429,28 +422,33 @@ def join(docs: DataFrame) -> DataFrame:
         return durable(_join(docs.select("doc_id", "text")), "components", keep=True)
 
 
+def common_counters(seen: DataFrame) -> np.ndarray:
+    """Counters of hashes that very many documents have: at least COMMON, and one in SHARE documents. A counter also counts what
+    tasks find by chance, which that share keeps out however many tasks there are."""
+    common = np.zeros(COUNTERS, bool)
+    least = max(COMMON, seen.where("n IS NOT NULL").count() // SHARE)
+    for r in seen.where("n IS NULL").groupBy("counter").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).toLocalIterator():
+        common[r.counter] = True  # at most COUNTERS rows
+    return common
+
+
 def _join(docs: DataFrame) -> DataFrame:
     seen = durable(survey(docs), "survey")
     rows = seen.where("n IS NOT NULL").select("doc_id", "n", "sid", "least")
-    common = np.zeros(COUNTERS, bool)
-    for r in seen.where("n IS NULL").groupBy("counter").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= COMMON).toLocalIterator():
-        common[r.counter] = True  # at most COUNTERS rows
-    family = rows.where("sid IS NOT NULL").groupBy("least").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).where("p < q").select("least")
-    sigs = durable(signatures(docs, common, family), "signatures")
-    sets = sigs.select(F.col("sid").alias("node"), F.col("n").alias("low"), F.col("n").alias("high"), "slack", *S).dropDuplicates(["node"])
-    home = durable(families(sigs), "families")
-    # hashes that more than one set has come first, on ids alone, as most hashes have but one; components are looked up after
-    by = Window.partitionBy("h")
-    shared = sigs.select("sid", F.explode("prefix").alias("h")).withColumn("p", F.min("sid").over(by)).withColumn("q", F.max("sid").over(by))
-    shared = durable(shared.where("p < q").select("h", "sid").distinct(), "shared")
-    listed = durable(_placed(shared, home.select(F.col("a").alias("node"), F.col("b").alias("root"))), "listed")
-    near = verify(durable(_pruned(chains(listed), sets), "near"), docs, rows)
-    links = home.select(F.col("a").alias("x"), F.col("b").alias("y")).union(near)
-    roots = components(links, "x", "y")
-    placed = durable(_placed(listed.select("h", "sid"), roots), "placed")
+    edges = lambda t, a, b: t.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    home = durable(families(docs, rows), "families")
+    sigs = durable(signatures(docs, common_counters(seen)), "signatures")
+    listed = durable(listing(sigs), "listed")
+    sets = durable(sigs.select(F.col("sid").alias("node"), F.col("n").alias("low"), F.col("n").alias("high"), "slack", *S).dropDuplicates(["node"]), "bitmaps")
+    release(sigs)
+    first = durable(_placed(listed, home.select(F.col("a").alias("node"), F.col("b").alias("root"))), "placed")
+    near = verify(durable(allowed(hubs(first), sets), "near"), docs, rows)
+    roots = components(edges(home, "a", "b").union(near), "x", "y")
+    placed = durable(_placed(listed, roots), "placed")
+    release(first, listed)
     far = verify(durable(crossings(placed, sets, roots), "far"), docs, rows)
     if not far.isEmpty():
-        roots = components(roots.select(F.col("node").alias("x"), F.col("root").alias("y")).union(far), "x", "y")
+        roots = components(edges(roots, "node", "root").union(far), "x", "y")
     known = rows.join(roots, rows.sid == roots.node, "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     least = known.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return known.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import durable
+from gridlight.llm.common import durable, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(down, "x")
         small = small.where("y > m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(down.select("x", F.col("m").alias("y"))).distinct()
-        edges = durable(small, "links")
+        old, edges = edges, durable(small, "links")
+        release(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state == before:
             break
