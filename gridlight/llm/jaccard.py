@@ -6,11 +6,11 @@ threshold. Two levels of the join are distributed:
 
 - Sets with the same smallest hash meet in blocks of bounded size; a tree over each block finds their links, passing
   over nodes that are already connected, and leaves one component per family of near copies.
-- Every set is also listed under the first hashes of its prefix, of which two similar sets share at least one, with its size
-  and the largest size that it can be linked with there. Each set is first tried with one hub per hash and size, so that
-  families that a crowd hides become one component. Then, under each hash, sets of different components meet through cells
-  that hold ranges of size and reach; what the ranges allow is taken to nodes with combined bitmaps, and pairs of nodes that
-  survive the bound are followed to their sets. Sets that survive it again are compared hash by hash.
+- Every set is also listed under the first hashes of its prefix, of which two similar sets share some, with its size and how many
+  hashes it has left there. Each set is first tried with one hub per hash and size, so that families that a crowd hides become
+  one component. Then, under each hash, sets of different components meet through cells that hold ranges of both numbers.
+  Pairs that meet often enough are taken to nodes with combined bitmaps, and pairs of nodes that survive the bound are followed
+  to their sets. Sets that survive it again are compared hash by hash.
 
 Prefixes put hashes that very many documents share last, so that a common passage brings no crowd together: where two sets share
 a passage and little else, their first common hash leaves too few behind it. That order is read off a table of fixed size; any
@@ -38,8 +38,8 @@ SHINGLE = 5
 NUM, DEN = 3, 7
 #: Bitmaps have 64 * LONGS bits. Counters of the table of common hashes. Members of a block, of a leaf, children of a node.
 LONGS, COUNTERS, BLOCK, LEAF, FAN = 32, 1 << 20, 512, 8, 8
-#: Cells that sizes which can be linked are divided into.
-GRID = 4
+#: Cells that sizes which can be linked are divided into. One hash in so many is counted to tell pairs that meet often.
+GRID, TIMES = 4, 20
 #: A hash counts as common from so many documents on, and from one in so many. Set ids that a task remembers so as not to send
 #: a set twice.
 COMMON, SHARE, KEPT = 64, 100_000, 300_000
@@ -333,19 +333,14 @@ def allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def listing(sigs: DataFrame) -> DataFrame:
-    """h, sid, n, reach of prefix hashes that more than one set has; of common hashes all, as they are known to be shared.
-
-    reach is the largest set that a set can be linked with if this is the first hash, in the common order, that both have: they
-    share no more than what each has from there on. So links are found at hashes where n and reach of both sides allow them.
-    """
-    reach = (F.floor(DEN * (F.col("n") - F.col("pos")) / NUM) - F.col("n")).alias("reach")
-    listed = lambda part, first: sigs.select("sid", "n", F.posexplode(part).alias("at", "h")).withColumn("pos", F.col("at") + first).select("h", "sid", "n", reach)
+    """h, sid, n, rest of prefix hashes that more than one set has; of common hashes all, as they are known to be shared. rest
+    counts a set's hashes from this one on, in the common order: two sets share no more from there on than the smaller rest."""
+    rest = (F.col("n") - F.col("pos")).alias("rest")
+    rare = sigs.select("sid", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("early"))).alias("pos", "h"))
     by = Window.partitionBy("h")
-    rare = listed(F.slice("prefix", F.lit(1), F.col("early")), F.lit(0)).withColumn("p", F.min("sid").over(by)).withColumn("q", F.max("sid").over(by))
-    rare = rare.where("p < q").select("h", "sid", "n", "reach").distinct()
-    late = sigs.where("early < size(prefix)").select("sid", "n", "prefix", "early")
-    late = late.select("sid", "n", "early", F.posexplode(F.slice("prefix", F.col("early") + 1, F.size("prefix"))).alias("at", "h")).withColumn("pos", F.col("at") + F.col("early"))
-    return rare.union(late.select("h", "sid", "n", reach).distinct())
+    rare = rare.select("h", "sid", "n", rest).withColumn("p", F.min("sid").over(by)).withColumn("q", F.max("sid").over(by)).where("p < q").drop("p", "q").distinct()
+    late = sigs.where("early < size(prefix)").select("sid", "n", "early", F.posexplode(F.slice("prefix", F.col("early") + 1, F.size("prefix"))).alias("at", "h"))
+    return rare.union(late.withColumn("pos", F.col("at") + F.col("early")).select("h", "sid", "n", rest).distinct())
 
 
 def _placed(listed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -358,34 +353,53 @@ def band(n: str) -> Column:
     return F.floor(F.log(F.col(n)) / math.log(4 / 3)).cast("int")
 
 
+#: With a = ceil(3 / 7 of both sizes), linked sets share a hashes or more. The k-th of them leaves a - k + 1 or more behind it in
+#: both sets, itself included. So the first MOST of them stand in both prefixes, and MOST hashes of both leave a - MOST + 1.
+MOST = f"least(floor(least(n_x, n_y) / {TIMES}) + 1, ceil({NUM} * (n_x + n_y) / {DEN}) - ceil(3 * greatest(n_x, n_y) / 4) + 1)"
+MEETS = f"{DEN} * least(rest_x, rest_y) >= {NUM} * (n_x + n_y) - {DEN} * ({MOST} - 1)"
+FIRST = f"{DEN} * least(rest_x, rest_y) >= {NUM} * (n_x + n_y)"
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """x, y, comp_x, comp_y, hits of the pairs that meet often enough to be linked; met has a row per pair and hash."""
+    pairs = met.groupBy("x", "y", "comp_x", "comp_y").agg(F.count("*").alias("hits"), F.max(F.expr(FIRST)).alias("first"), F.first(F.expr(MOST)).alias("most"))
+    return pairs.where("first AND hits >= most").drop("first", "most")
+
+
+def _side(placed: DataFrame, c: str, *more: str) -> DataFrame:
+    return placed.select("h", *more, F.col("sid").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "rest", "comp")])
+
+
 def hubs(placed: DataFrame) -> DataFrame:
     """Pairs (x, y) to try first: under each hash, every set with the one of its size, and of the next smaller sizes, that
-    reaches furthest; of two components the pair that is met most often. Fewer than twice the places."""
+    has most left; of two components the pair that meets most often. Fewer than twice the places."""
     held = placed.withColumn("band", band("n"))
-    best = held.groupBy("h", "band").agg(F.max(F.struct("reach", F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("comp_y"))).alias("hub")).select("h", "band", "hub.*").withColumnRenamed("reach", "reach_y")
+    best = held.groupBy("h", "band").agg(F.max(F.struct(F.col("rest") / F.col("n"), "sid", "n", "rest", "comp")).alias("hub")).select("h", "band", "hub.*")
     both = held.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    met = both.join(best, ["h", "band"]).where("comp <> comp_y AND n <= reach_y AND n_y <= reach")
-    met = met.groupBy("comp", "comp_y", F.col("sid").alias("x"), "y").agg(F.count("*").alias("n"))
-    return met.groupBy(F.least("comp", "comp_y").alias("p"), F.greatest("comp", "comp_y").alias("q")).agg(F.max(F.struct("n", "x", "y")).alias("e")).select("e.x", "e.y")
+    met = _side(both, "x", "band").join(_side(best, "y", "band"), ["h", "band"]).where(f"comp_x <> comp_y AND {MEETS}")
+    pairs = _counted(met).groupBy(F.least("comp_x", "comp_y").alias("p"), F.greatest("comp_x", "comp_y").alias("q"))
+    return pairs.agg(F.max(F.struct("hits", "x", "y")).alias("e")).select("e.x", "e.y")
 
 
 def meetings(placed: DataFrame) -> DataFrame:
-    """All pairs (x, y) of sets of different components that some hash allows: where the sizes are within reach of each other.
+    """All pairs (x, y) of sets of different components that meet under enough hashes for their sizes.
 
-    Under a hash, sets stand in cells of similar size and reach. Cells are nodes that hold ranges of both, and pairs of cells that
+    Under a hash, sets stand in cells of similar size and rest. Cells are nodes that hold ranges of both, and pairs of cells that
     the ranges rule out are never opened; there are at most some hundred cells to a hash, however many sets it has.
     """
     fine = math.log(4 / 3) / GRID
-    held = placed.withColumn("cell", F.struct(F.floor(F.log("n") / fine).alias("n"), F.floor(F.log("reach") / fine).alias("reach")))
-    cells = held.groupBy("h", "cell").agg(F.min("n").alias("low"), F.max("reach").alias("reach"), F.min("comp").alias("p"), F.max("comp").alias("q"))
+    held = placed.withColumn("cell", F.struct(F.floor(F.log("n") / fine).alias("n"), F.floor(F.log("rest") / fine).alias("rest")))
+    cells = held.groupBy("h", "cell").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.min("comp").alias("p"), F.max("comp").alias("q"))
     crossed = cells.groupBy("h").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("h")
     cells = cells.join(crossed, "h", "left_semi")
-    side = lambda c: cells.select("h", F.col("cell").alias(f"cell_{c}"), F.col("low").alias(f"low_{c}"), F.col("reach").alias(f"reach_{c}"), F.col("p").alias(f"p_{c}"), F.col("q").alias(f"q_{c}"))
-    open_ = side("x").join(side("y"), "h").where("cell_x <= cell_y AND low_x <= reach_y AND low_y <= reach_x AND NOT (p_x = q_y AND q_x = p_y)").select("h", "cell_x", "cell_y")
-    one = lambda c: held.select("h", F.col("cell").alias(f"cell_{c}"), F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("reach").alias(f"reach_{c}"), F.col("comp").alias(f"comp_{c}"))
-    both = open_.join(one("x"), ["h", "cell_x"]).join(one("y"), ["h", "cell_y"])
-    both = both.where("(cell_x < cell_y OR x < y) AND comp_x <> comp_y AND n_x <= reach_y AND n_y <= reach_x")
-    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    side = lambda c: cells.select("h", *[F.col(k).alias(f"{k}_{c}") for k in ("cell", "low", "high", "rest", "p", "q")])
+    may = f"{DEN} * least(rest_x, rest_y) + {DEN} * least(high_x, high_y) / {TIMES} >= {NUM} * (low_x + low_y) AND 4 * high_x >= 3 * low_y AND 4 * high_y >= 3 * low_x"
+    open_ = side("x").join(side("y"), "h").where(f"cell_x <= cell_y AND NOT (p_x = q_y AND q_x = p_y) AND {may}").select("h", "cell_x", "cell_y")
+    one = lambda c: _side(held.withColumnRenamed("cell", f"cell_{c}"), c, f"cell_{c}")
+    both = open_.join(one("x"), ["h", "cell_x"]).join(one("y"), ["h", "cell_y"]).where(f"(cell_x < cell_y OR x < y) AND comp_x <> comp_y AND {MEETS}")
+    swap = F.col("x") > F.col("y")
+    two = lambda k: [F.when(swap, F.col(f"{k}y")).otherwise(F.col(f"{k}x")).alias(f"{k}x"), F.when(swap, F.col(f"{k}x")).otherwise(F.col(f"{k}y")).alias(f"{k}y")]
+    return _counted(both.select(*two(""), *two("comp_"), *two("n_"), *two("rest_"))).select("x", "y")
 
 
 def nodes_of(pairs: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
