@@ -109,6 +109,11 @@ def cross_entropy(pixels: DataFrame, label: str, probs: str, floor: float = 1e-7
     return pixels.agg(F.avg(-F.log(F.greatest(F.get(F.col(probs), F.col(label)), F.lit(floor)))).alias("cross_entropy"))
 
 
+def segmentation_loss(pixels: DataFrame, image: str, label: str, probs: str) -> DataFrame:
+    """loss: cross-entropy plus Dice loss, what segmentation networks are trained on."""
+    return cross_entropy(pixels, label, probs).union(dice_loss(pixels, image, label, probs)).agg(F.sum("cross_entropy").alias("loss"))
+
+
 def ranked_classes(df: DataFrame, key: str, probs: str) -> DataFrame:
     """key, class_id, p, rank (by p, ties by class) and is_top (all classes of the highest p)."""
     long = df.select(key, F.posexplode(probs).alias("class_id", "p"))

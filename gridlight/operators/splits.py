@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlight.operators.ranking import global_rank, hash_of, shuffled_rank
+from gridlight.operators.ranking import global_rank, hash_of, shuffled_rank, unused
 
 
 def allocate(counts: DataFrame, label: str, n: str, share: float, name: str) -> DataFrame:
@@ -20,13 +20,16 @@ def allocate(counts: DataFrame, label: str, n: str, share: float, name: str) ->
 
 
 def stratified_split(df: DataFrame, key: str, label: str, held: float = 0.2, test_of_held: float = 0.5, seed: int = 42) -> DataFrame:
-    """df with split: per label, ``held`` of the rows go to val and test, ``test_of_held`` of those to test. Totals are exact."""
+    """df with split: per label, ``held`` of the rows go to val and test, ``test_of_held`` of those to test. Totals are exact;
+    rows without a key or a label are dealt like others."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))  # one row per label
     plan = allocate(allocate(counts, label, "n", held, "held"), label, "held", test_of_held, "test")
-    ranked = shuffled_rank(df, key, seed, [label])
-    joined = ranked.join(F.broadcast(plan.select(F.col(label).alias("_l"), "held", "test")), F.col(label).eqNullSafe(F.col("_l")))
-    split = F.when(F.col("rank") <= F.col("held") - F.col("test"), "val").when(F.col("rank") <= F.col("held"), "test").otherwise("train")
-    return joined.withColumn("split", split).select(*df.columns, "split")
+    [rank] = unused(df, "rank")
+    ranked = shuffled_rank(df, key, seed, [label], rank)
+    sizes = plan.select(F.col(label).alias("_label"), "held", "test").alias("r")
+    joined = ranked.alias("l").join(sizes, F.col(f"l.{label}").eqNullSafe(F.col("r._label")))
+    split = F.when(F.col(f"l.{rank}") <= F.col("r.held") - F.col("r.test"), "val").when(F.col(f"l.{rank}") <= F.col("r.held"), "test").otherwise("train")
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns if c != "split"], split.alias("split"))
 
 
 def train_test_split(df: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -35,11 +38,13 @@ def train_test_split(df: DataFrame, key: str, label: str, share: float = 0.2, se
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """df with split: max(1, int(share * groups)) whole groups go to val."""
+    """df with split: max(1, int(share * groups)) whole groups go to val. Rows without a group are one group."""
     groups = df.select(group).distinct()
     n = groups.count()
     ranked = shuffled_rank(groups, group, seed).withColumn("split", F.when(F.col("rank") <= max(1, int(n * share)), "val").otherwise("train"))
-    return df.join(ranked.select(group, "split"), group)
+    sides = ranked.select(F.col(group).alias("_group"), "split").alias("r")
+    columns = [F.col(f"l.`{c}`") for c in [group, *(c for c in df.columns if c not in (group, "split"))]]
+    return df.alias("l").join(sides, F.col(f"l.{group}").eqNullSafe(F.col("r._group"))).select(*columns, "r.split")
 
 
 def leaks(df: DataFrame, group: str) -> DataFrame:
@@ -57,7 +62,9 @@ def evenly_spaced(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def nth_of_class(df: DataFrame, n: int, label: str, order: str) -> DataFrame:
     """Per class the row number n (from 0) in the order of a column."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(order))).where(F.col("_n") == n + 1).drop("_n")
+    [nth] = unused(df, "n")
+    # the limit on ranks keeps n + 1 rows of a class per task, so that a large class is cut before it is shuffled
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(label).orderBy(order))).where(F.col(nth) <= n + 1).where(F.col(nth) == n + 1).drop(nth)
 
 
 def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -74,16 +81,22 @@ def every_kth(df: DataFrame, batch: int, most: int, *order: str) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """Exactly n rows (all, if fewer), without replacement, the same for the same seed."""
-    return df.withColumn("_h", hash_of(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+    [h] = unused(df, "h")
+    return df.withColumn(h, hash_of(key, seed)).orderBy(h, key).limit(n).drop(h)
 
 
 def at_positions(df: DataFrame, positions: list[int], *order: str) -> DataFrame:
     return global_rank(df, *order).where(F.col("pos").isin(positions))
 
 
+def epoch_seed(seed: int, epoch: int) -> int:
+    return seed * 1_000_003 + epoch
+
+
 def shuffled(df: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
     """df in a new order for each epoch."""
-    return df.withColumn("_h", hash_of(key, seed * 1_000_003 + epoch)).orderBy("_h", key).drop("_h")
+    [h] = unused(df, "h")
+    return df.withColumn(h, hash_of(key, epoch_seed(seed, epoch))).orderBy(h, key).drop(h)
 
 
 def batches(df: DataFrame, size: int, *order: str) -> DataFrame:

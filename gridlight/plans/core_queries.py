@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from gridlight.functions import names, pixels
 from gridlight.operators import history as hist
-from gridlight.operators import metrics, nets, noise, pca, reservoir, scaling, splits, tiles
+from gridlight.operators import metrics, nets, noise, pca, ranking, reservoir, scaling, splits, tiles
 from gridlight.plans import tables as t
+from gridlight.streaming import ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,10 +100,14 @@ def group_split(spark, sf):
     return splits.group_split(t.table(spark, sf, "conversations"), "conv_id").select("conv_id", "turn", "split")
 
 
-@query("SELECT 0::BIGINT AS n_leaking")
+@query(_GROUPS + """, r AS (SELECT c.conv_id, split FROM conversations c JOIN s USING (conv_id))
+SELECT split, count(DISTINCT conv_id) AS n_groups, count(*) AS n_rows, count(DISTINCT conv_id) FILTER (WHERE conv_id IN (SELECT conv_id FROM r GROUP BY conv_id HAVING count(DISTINCT split) > 1)) AS n_leaking FROM r GROUP BY split""")
 def group_split_leakage_check(spark, sf):
+    """Groups, rows and leaking groups of either side."""
     parts = splits.group_split(t.table(spark, sf, "conversations"), "conv_id")
-    return splits.leaks(parts, "conv_id").agg(F.count("*").alias("n_leaking"))
+    leaking = splits.leaks(parts, "conv_id").select("conv_id", F.lit(1).alias("leak"))
+    marked = parts.join(leaking, "conv_id", "left")
+    return marked.groupBy("split").agg(F.countDistinct("conv_id").alias("n_groups"), F.count("*").alias("n_rows"), F.countDistinct(F.when(F.col("leak") == 1, F.col("conv_id"))).alias("n_leaking"))
 
 
 @query(_GROUPS + "SELECT c.conv_id, c.turn FROM conversations c ANTI JOIN (SELECT conv_id FROM s WHERE split = 'val') v USING (conv_id)")
@@ -152,10 +157,11 @@ def palette_encode(spark, sf):
     return tiles.encode(tiles.long_form(t.class_ids(spark, sf), "classes", 8, ("image_id",)), "value").select("image_id", "y", "x", "r", "g", "b")
 
 
-@query(f"""WITH {_I} SELECT image_id, u.k - 1 AS i, round(0.299::DOUBLE * px[3 * u.k - 2] + 0.587::DOUBLE * px[3 * u.k - 1] + 0.114::DOUBLE * px[3 * u.k], 6) AS gray
-FROM img, unnest(range(1, 22)) AS u(k)""")
+@query(f"""WITH {_I} SELECT image_id, u.k - 1 AS i, round(0.299::DOUBLE * px[3 * u.k - 2] + 0.587::DOUBLE * px[(3 * u.k - 2) % 64 + 1] + 0.114::DOUBLE * px[(3 * u.k - 1) % 64 + 1], 6) AS gray
+FROM img, unnest(range(1, 23)) AS u(k)""")
 def grayscale(spark, sf):
-    rgb = t.images(spark, sf).select("image_id", F.slice("pixels", 1, 63).alias("rgb"))
+    """All 64 elements, and the first two again, as 22 pixels of three channels."""
+    rgb = t.images(spark, sf).select("image_id", F.concat("pixels", F.slice("pixels", 1, 2)).alias("rgb"))
     return rgb.select("image_id", F.posexplode(pixels.grayscale(F.col("rgb"))).alias("i", "gray")).select("image_id", F.col("i").cast("long").alias("i"), r6(F.col("gray")).alias("gray"))
 
 
@@ -207,19 +213,34 @@ def noise_seeded(spark, sf):
     return out.select("image_id", "split", r6(pixels.squared_error(F.col("noisy"), F.col("pixels"))).alias("mse"))
 
 
-@query(f"""WITH {_V} SELECT a.i - 1 AS i, b.j - 1 AS j, round(covar_samp(v[a.i], v[b.j]), 6) AS cov FROM e, unnest(range(1, 9)) AS a(i), unnest(range(1, 9)) AS b(j) WHERE a.i <= b.j GROUP BY a.i, b.j""")
-def covariance(spark, sf):
-    return pca.covariance(t.vectors(spark, sf), "v", 8).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("cov")).alias("cov"))
-
-
-@query()
+@query(f"""WITH {_V} SELECT a.i - 1 AS i, b.j - 1 AS j, round(covar_samp(v[a.i], v[b.j]), 6) + 0.0::DOUBLE AS cov FROM e, unnest(range(1, 65)) AS a(i), unnest(range(1, 65)) AS b(j) WHERE a.i <= b.j GROUP BY a.i, b.j""")
 def covariance_all(spark, sf):
-    """Covariances of all components; the statement of covariance is of the first eight."""
+    """Covariances of all components."""
     _, _, cov = pca.moments(t.vectors(spark, sf), "v")
     rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]
     return spark.createDataFrame(rows, "i long, j long, cov double").select("i", "j", r6(F.col("cov")).alias("cov"))
 
 
+_COV = f"""{_V}, l AS (SELECT image_id, u.i AS i, v[u.i] AS x FROM e, unnest(range(1, 65)) AS u(i)), m AS (SELECT i, avg(x) AS mean FROM l GROUP BY i)"""
+
+
+@query(f"""WITH {_COV}, c AS (SELECT a.i AS i, b.j AS j, covar_samp(v[a.i], v[b.j]) AS cov FROM e, unnest(range(1, 65)) AS a(i), unnest(range(1, 65)) AS b(j) GROUP BY a.i, b.j)
+SELECT round(pow(sum(cov) FILTER (WHERE i = j), 2) / sum(cov * cov), 6) AS effective_rank FROM c""")
+def pca_effective_rank(spark, sf):
+    """One over the sum of squared variance ratios, which the covariances give without their eigenvalues, too."""
+    model = pca.fit(t.vectors(spark, sf), "v", 64)
+    return pca.explained(spark, model).agg(r6(1 / F.sum(F.col("ratio") * F.col("ratio"))).alias("effective_rank"))
+
+
+@query(f"WITH {_COV} SELECT image_id, round(sum((x - mean) * (x - mean)), 6) AS squared_norm, 0.0::DOUBLE AS rebuilt_error FROM l JOIN m USING (i) GROUP BY image_id")
+def pca_norms(spark, sf):
+    """All scores keep the distance from the mean, and lead back to the vector."""
+    df = t.vectors(spark, sf)
+    model = pca.fit(df, "v", 64)
+    back = model.inverse(model.transform(df, "v", "scores", 64), "scores")
+    return back.select("image_id", r6(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x)).alias("squared_norm"), r6(pixels.max_abs_error(F.col("rebuilt"), F.col("v"))).alias("rebuilt_error"))
+
+
 def _fitted(spark, sf, k=18):
     train = splits.stratified_split(t.images(spark, sf), "image_id", "label")
     return train, pca.fit(train.where("split = 'train'"), "pixels", k)
@@ -402,17 +423,43 @@ def teng_2d(spark, sf):
     return t.images(spark, sf).select("image_id", r6(pixels.teng(F.col("pixels"), 8, 8)).alias("teng"))
 
 
-@query()
+def _noisy16(spark) -> DataFrame:
+    """Made-up images, and under errors by an integer rule."""
+    eps = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: ((F.col("image_id") * 7 + k * 5) % 21 - 10) / F.lit(10.0))
+    return t.images16(spark).withColumn("noisy", noise.apply_eps(F.col("pixels"), eps))
+
+
+_N16 = """r16 AS (SELECT i AS image_id, k, ((i * 31 + (k // 16) * 7 + (k % 16) * 13) % 256) / 255.0::DOUBLE AS t, ((i * 7 + k * 5) % 21 - 10) / 10.0::DOUBLE AS eps FROM range(100) AS a(i), range(256) AS b(k)),
+s16 AS (SELECT image_id, k, k // 16 AS y, k % 16 AS x, t, greatest(0.0::DOUBLE, least(1.0::DOUBLE, t * (1 + eps))) AS v FROM r16),
+gw AS (SELECT d, exp(-pow(d - 5, 2) / 4.5::DOUBLE) / sum(exp(-pow(d - 5, 2) / 4.5::DOUBLE)) OVER () AS g FROM range(11) AS r(d)),
+win AS (SELECT image_id, sum(p.g * q.g * v) AS ma, sum(p.g * q.g * t) AS mb, sum(p.g * q.g * v * v) AS aa, sum(p.g * q.g * t * t) AS bb, sum(p.g * q.g * v * t) AS ab
+        FROM range(6) AS wy(oy), range(6) AS wx(ox), gw p, gw q, s16 WHERE y = oy + p.d AND x = ox + q.d GROUP BY image_id, oy, ox),
+sim AS (SELECT image_id, avg(((2 * ma * mb + 1e-4::DOUBLE) * (2 * (ab - ma * mb) + 9e-4::DOUBLE)) / ((ma * ma + mb * mb + 1e-4::DOUBLE) * (aa - ma * ma + bb - mb * mb + 9e-4::DOUBLE))) AS s FROM win GROUP BY image_id)"""
+
+
+def _at16(dy: int, dx: int) -> str:
+    return f"px[greatest(0, least(15, i // 16 + {dy})) * 16 + greatest(0, least(15, i % 16 + {dx})) + 1]"
+
+
+_GX16 = f"({_at16(-1, 1)} - {_at16(-1, -1)} + 2 * ({_at16(0, 1)} - {_at16(0, -1)}) + {_at16(1, 1)} - {_at16(1, -1)})"
+_GY16 = f"({_at16(1, -1)} - {_at16(-1, -1)} + 2 * ({_at16(1, 0)} - {_at16(-1, 0)}) + {_at16(1, 1)} - {_at16(-1, 1)})"
+
+
+@query(f"WITH {_N16} SELECT image_id, 1.0::DOUBLE AS same, round(s, 6) AS noisy FROM sim")
 def ssim(spark, sf):
     """Made-up images against themselves and against noisy ones."""
-    df = noise.speckle(t.images16(spark), "image_id", "pixels", 0.1)
-    return df.select("image_id", metrics.ssim(F.col("pixels"), F.col("pixels"), 16, 16).alias("same"), metrics.ssim(F.col("noisy"), F.col("pixels"), 16, 16).alias("noisy"))
+    df = _noisy16(spark)
+    return df.select("image_id", r6(metrics.ssim(F.col("pixels"), F.col("pixels"), 16, 16)).alias("same"), r6(metrics.ssim(F.col("noisy"), F.col("pixels"), 16, 16)).alias("noisy"))
 
 
-@query()
+@query(f"""WITH {_N16}, both16 AS (SELECT 'clean' AS model, image_id, k, t AS v, t FROM s16 UNION ALL SELECT 'noisy input', image_id, k, v, t FROM s16),
+l16 AS (SELECT model, image_id, list(v ORDER BY k) AS px, avg((v - t) * (v - t)) AS mse FROM both16 GROUP BY model, image_id),
+g16 AS (SELECT model, image_id, {_GX16} * {_GX16} + {_GY16} * {_GY16} AS g FROM l16, unnest(range(0, 256)) AS u(i)),
+t16 AS (SELECT model, image_id, avg(CASE WHEN sqrt(g) > 0.05 THEN g ELSE 0 END) AS teng FROM g16 GROUP BY model, image_id)
+SELECT model, round(avg(mse), 6) AS mse, round(avg(CASE WHEN model = 'clean' THEN 1 ELSE s END), 6) AS ssim, round(avg(teng), 6) AS teng FROM l16 JOIN t16 USING (model, image_id) JOIN sim USING (image_id) GROUP BY model""")
 def evaluate_models(spark, sf):
-    df = noise.speckle(t.images16(spark), "image_id", "pixels", 0.1)
-    return metrics.evaluate(df, "pixels", {"noisy input": "noisy"}, 16, 16)
+    scores = metrics.evaluate(_noisy16(spark), "pixels", {"noisy input": "noisy"}, 16, 16)
+    return scores.select("model", *[r6(F.col(c)).alias(c) for c in ("mse", "ssim", "teng")])
 
 
 @query()
@@ -424,16 +471,39 @@ def reservoir_embed(spark, sf):
     return reservoir.reservoir(scaled.select("image_id", "scaled"), "scaled", "embedding", reservoir.Config(atoms=6)).select("image_id", "embedding")
 
 
+@query()
+def reservoir_class_means(spark, sf):
+    """The mean image of each class, on 18 scaled scores, through the full chain of 18 atoms."""
+    df = t.images(spark, sf)
+    pixel = F.posexplode("pixels").alias("k", "x")
+    means = df.select("label", pixel).groupBy("label", "k").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("pixels"))
+    model = pca.fit(df, "pixels", 18)
+    scaled = scaling.minmax(model.transform(means, "pixels"), "scores", scaling.column_stats(model.transform(df, "pixels"), "scores"))
+    return reservoir.reservoir(scaled.select("label", "scaled").repartition(10, "label"), "scaled", "embedding").select("label", "embedding")
+
+
 @query("SELECT a.i::INT AS i, b.j::INT AS j FROM range(18) AS a(i), range(18) AS b(j) WHERE a.i < b.j")
 def qubit_pairs(spark, sf):
     return tiles.qubit_pairs(spark, 18)
 
 
-@query()
+def rule_net(inputs: int, hidden: int, outputs: int) -> nets.Dense:
+    """Two layers whose weights an integer rule gives."""
+    i, j, k = np.arange(inputs)[:, None], np.arange(hidden), np.arange(outputs)
+    return nets.Dense([((i * 7 + j * 13) % 11 - 5) / 40, ((j[:, None] * 5 + k * 3) % 13 - 6) / 40], [((j * 3) % 5 - 2) / 10, ((k * 7) % 3 - 1) / 10])
+
+
+_W1, _B1, _W2, _B2 = "((i * 7 + j * 13) % 11 - 5) / 40.0::DOUBLE", "((j * 3) % 5 - 2) / 10.0::DOUBLE", "((j * 5 + k * 3) % 13 - 6) / 40.0::DOUBLE", "((k * 7) % 3 - 1) / 10.0::DOUBLE"
+#: Both layers' outputs h and o of rows x(n, i, v).
+_NET = f"""h AS (SELECT n, j, greatest(0.0::DOUBLE, sum(v * {_W1}) + {_B1}) AS h FROM x, range(32) AS a(j) GROUP BY n, j),
+o AS (SELECT n, k, 1 / (1 + exp(-(sum(h * {_W2}) + {_B2}))) AS o FROM h, range(64) AS b(k) GROUP BY n, k)"""
+
+
+@query(f"""WITH {_P}, x AS (SELECT image_id AS n, i, value AS v FROM p), {_NET}
+SELECT n AS image_id, round(avg((o - v) * (o - v)), 6) AS mse FROM o JOIN x USING (n) WHERE k = i GROUP BY n""")
 def mlp_score(spark, sf):
-    """A fixed dense network over scores, and its error."""
-    df = t.images(spark, sf)
-    out = nets.Dense.create([64, 32, 64], seed=7).score(df, "pixels")
+    """A fixed dense network over pixels, and its error."""
+    out = rule_net(64, 32, 64).score(t.images(spark, sf), "pixels")
     return out.select("image_id", r6(pixels.squared_error(F.col("rebuilt"), F.col("pixels"))).alias("mse"))
 
 
@@ -495,15 +565,69 @@ def tick_format(spark, sf):
     return t.table(spark, sf, "events").select("event_id", names.tick(F.col("ts")).alias("tick"), names.run_stamp(F.col("ts")).alias("stamp"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT n, i, (n * 5 + i * 3) % 7 / 7.0::DOUBLE AS v FROM range(16) AS a(n), range(18) AS b(i)), {_NET},
+d AS (SELECT n, k, 2 * (o - (n * 3 + k * 11) % 9 / 9.0::DOUBLE) / (16 * 64) * o * (1 - o) AS d FROM o),
+c AS (SELECT n, j, sum(d * {_W2}) * (max(h) > 0)::INT AS c FROM d JOIN h USING (n) GROUP BY n, j),
+g AS (SELECT 'dense_1' AS layer, 'kernel' AS kind, sum(h * d) AS g FROM h JOIN d USING (n) GROUP BY j, k UNION ALL SELECT 'dense_1', 'bias', sum(d) FROM d GROUP BY k
+  UNION ALL SELECT 'dense_0', 'kernel', sum(v * c) FROM x JOIN c USING (n) GROUP BY i, j UNION ALL SELECT 'dense_0', 'bias', sum(c) FROM c GROUP BY j)
+SELECT layer, kind, round(sqrt(sum(g * g)), 6) AS grad_norm FROM g GROUP BY layer, kind""")
 def gradient_norms(spark, sf):
     """L2 norms of a dense network's gradients by layer and kind."""
-    net, rng = nets.Dense.create([18, 32, 64], seed=5), np.random.default_rng(5)
-    rows = net.gradient_norms(rng.random((16, 18)), rng.random((16, 64)))
-    return spark.createDataFrame(rows, "layer string, kind string, grad_norm double")
+    n, i, k = np.arange(16)[:, None], np.arange(18), np.arange(64)
+    rows = rule_net(18, 32, 64).gradient_norms((n * 5 + i * 3) % 7 / 7, (n * 3 + k * 11) % 9 / 9)
+    return spark.createDataFrame(rows, "layer string, kind string, grad_norm double").withColumn("grad_norm", r6(F.col("grad_norm")))
+
+
+_LAYERS = """l(model, layer, conv, a, b) AS (VALUES ('digits', 'dense_0', false, 18, 1024), ('digits', 'dense_1', false, 1024, 512), ('digits', 'dense_2', false, 512, 784),
+('vgg', 'conv_0', true, 3, 32), ('vgg', 'conv_1', true, 32, 32), ('vgg', 'conv_2', true, 32, 64), ('vgg', 'conv_3', true, 64, 64), ('vgg', 'conv_4', true, 64, 128), ('vgg', 'conv_5', true, 128, 128),
+('vgg', 'dense_0', false, 8 * 8 * 128, 128), ('vgg', 'dense_1', false, 128, 10)),
+n AS (SELECT *, (CASE WHEN conv THEN 9 * a * b + b ELSE a * b + b END)::BIGINT AS parameters FROM l)"""
+
+
+@query(f"WITH {_LAYERS} SELECT model, layer, a::BIGINT AS inputs, b::BIGINT AS outputs, parameters FROM n")
+def net_summary(spark, sf):
+    """Layers, widths and parameters of both networks."""
+    made = {"digits": nets.Dense.create([18, *nets.DIGITS]), "vgg": nets.ConvNet.create()}
+    return spark.createDataFrame([(m, *row) for m, net in made.items() for row in net.summary()], "model string, layer string, inputs long, outputs long, parameters long")
+
+
+@query(f"""WITH {_PROBS}, l AS (SELECT image, label, u.c, p[u.c + 1] AS p FROM q, unnest(range(0, 3)) AS u(c)),
+s AS (SELECT image, c, sum(CASE WHEN label = c THEN p ELSE 0 END) AS i, sum((label = c)::INT + p) AS u FROM l GROUP BY image, c)
+SELECT round((SELECT 1 - avg((2 * i + 1e-6) / (u + 1e-6)) FROM s) + (SELECT avg(-ln(greatest(p[label + 1], 1e-7))) FROM q), 6) AS loss""")
+def segmentation_loss(spark, sf):
+    """Cross-entropy and Dice loss added."""
+    return metrics.segmentation_loss(t.probs(spark), "image", "label", "p").select(r6(F.col("loss")).alias("loss"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf):
+    """The windows of the stream of events, as a batch."""
+    out = ticks.windowed_counts(t.table(spark, sf, "events"), "ts", "event_type")
+    return out.select(names.tick(F.col("start")).alias("start"), "event_type", F.col("count").alias("n"))
+
+
+@query("SELECT vec_id AS image_id, row_number() OVER (ORDER BY md5(vec_id || ':42000129'), vec_id) AS pos FROM embeddings")
+def epoch_shuffle(spark, sf):
+    """Places in the order of the third epoch."""
+    return ranking.shuffled_rank(t.vectors(spark, sf).select("image_id"), "image_id", splits.epoch_seed(42, 3), name="pos")
+
+
+@query(f"WITH {_V} SELECT image_id, 100 AS width, round(list_sum(v[1:18]), 6) AS total, 82 AS zeros FROM e")
+def head_padded(spark, sf):
+    """18 components and zeros up to 100."""
+    df = t.vectors(spark, sf).select("image_id", pixels.head_padded(F.col("v"), 18, 100).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return df.select("image_id", F.size("p").alias("width"), r6(total).alias("total"), F.size(F.filter("p", lambda x: x == 0)).alias("zeros"))
+
+
+@query(f"WITH {_V}, l AS (SELECT image_id, (u.i - 1) // 8 AS y, v[u.i] AS x FROM e, unnest(range(1, 65)) AS u(i)) SELECT image_id, y, round(sum(greatest(0, least(1, x))), 6) AS total, count(*) AS width FROM l GROUP BY image_id, y")
+def image_rows(spark, sf):
+    """Flat vectors as rows of pixels, cut to 0..1."""
+    rows = t.vectors(spark, sf).select("image_id", F.posexplode(pixels.to_rows(F.col("v"), 8)).alias("y", "row"))
+    return rows.select("image_id", F.col("y").cast("long").alias("y"), r6(F.aggregate("row", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("row").cast("long").alias("width"))
 
 
-@query("SELECT 'digits' AS model, (18 * 1024 + 1024 + 1024 * 512 + 512 + 512 * 784 + 784)::BIGINT AS parameters UNION ALL SELECT 'vgg', 1337002")
+@query(f"WITH {_LAYERS} SELECT model, sum(parameters)::BIGINT AS parameters FROM n GROUP BY model")
 def parameter_counts(spark, sf):
     sizes = [18, *nets.DIGITS]
     digits = sum(a * b + b for a, b in zip(sizes, sizes[1:], strict=False))

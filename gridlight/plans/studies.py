@@ -12,19 +12,14 @@ from pyspark.sql import functions as F
 from gridlight.functions import pixels
 from gridlight.functions.names import tile_name
 from gridlight.operators import metrics, nets, noise, pca, reservoir, scaling, splits, tiles
+from gridlight.operators.training import Rows
+from gridlight.sources import images as image_sources
 
-#: Rows that one task trains a network on, at most, chosen by hash; scoring covers all rows.
-TRAINED = 20_000
 
-
-def _sample(df: DataFrame, x: str, y: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = splits.sample_n(df.select("image_id", x, y), TRAINED, "image_id", seed).toArrow()
-    return pca.matrix(rows.column(x).combine_chunks()), pca.matrix(rows.column(y).combine_chunks())
-
-
-def denoise(images: DataFrame, height: int, width: int, cfg: reservoir.Config | None = None, sigma: float = 0.7, components: int = 100, hidden: tuple[int, ...] = nets.READOUT, seed: int = noise.SEED, **train) -> DataFrame:
+def denoise(images: DataFrame, height: int, width: int, cfg: reservoir.Config | None = None, sigma: float = 0.7, components: int = 100, hidden: tuple[int, ...] = nets.READOUT, seed: int = noise.SEED, batch: int = 64, **train) -> DataFrame:
     """model, mse, ssim, teng on the test split: clean, noisy, linear reconstruction, network on scores, network on the
-    reservoir's features of the scores. images has image_id, label, pixels in 0..1. ``train`` goes to Dense.fit."""
+    reservoir's features of the scores. images has image_id, label, pixels in 0..1; networks learn from the whole train split.
+    ``train`` goes to Dense.fit_rows."""
     cfg = cfg or reservoir.Config()
     d = cfg.atoms
     parts = splits.stratified_split(images, "image_id", "label", seed=seed)
@@ -38,9 +33,8 @@ def denoise(images: DataFrame, height: int, width: int, cfg: reservoir.Config |
     for source, out in (("embedding", "hybrid"), ("z", "baseline")):
         std = scaling.column_stats(embedded.where("split = 'train'"), source)
         ready = scaling.standardise(embedded, source, std, "x")
-        x, y = _sample(ready.where("split = 'train'"), "x", "pixels", seed)
-        xv, yv = _sample(ready.where("split = 'val'"), "x", "pixels", seed)
-        net = nets.Dense.create([x.shape[1], *hidden[:-1], height * width], seed).fit(x, y, xv, yv, seed=seed, **train)
+        part = lambda name: Rows(ready.where(F.col("split") == name).select("image_id", "x", "pixels"), "image_id", "x", "pixels", batch, seed)  # noqa: E731, B023
+        net = nets.Dense.create([cfg.width if source == "embedding" else d, *hidden[:-1], height * width], seed).fit_rows(part("train"), part("val"), **train)
         done = net.score(scaling.standardise(done, source, std, "x"), "x", out).drop("x")
     done = model.inverse(done, "scores", "linear")
     return metrics.evaluate(done, "pixels", {"noisy": "noisy", "linear": "linear", "baseline": "baseline", "hybrid": "hybrid"}, height, width, with_ssim=min(height, width) >= 11)
@@ -117,6 +111,44 @@ def score_segmentation(tiles_table: DataFrame, predict, classes: int = len(tiles
     return part.groupBy("truth", "predicted").agg(F.sum("n").alias("n"))
 
 
+def digits(images: DataFrame, tests: DataFrame, side: int = 28, sigma: float = 0.7, components: int = 18, hidden: tuple[int, ...] = nets.DIGITS, share: float = 0.2, seed: int = noise.SEED, batch: int = 64, rate: float = 1e-3, **train) -> tuple[DataFrame, nets.Dense]:
+    """model, mse, ssim, teng on the test images, and the network: noisy, linear reconstruction, network on the scores of the noisy
+    image. images and tests have image_id, label, pixels in 0..1; a stratified share of images is for validation."""
+    parts = splits.train_test_split(images, "image_id", "label", share, seed).withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
+    model = pca.fit(parts.where("split = 'train'"), "pixels", components)
+    noisy = lambda df, k: noise.speckle(df, "image_id", "pixels", sigma, k)
+    scored = model.transform(noisy(parts, noise.seed_of_split(F.col("split"), seed)), "noisy", "scores").persist()
+    part = lambda name: Rows(scored.where(F.col("split") == name).select("image_id", "scores", "pixels"), "image_id", "scores", "pixels", batch, seed)
+    net = nets.Dense.create([components, *hidden[:-1], side * side], seed).fit_rows(part("train"), part("val"), rate, **train)
+    scored.unpersist()
+    done = net.score(model.inverse(model.transform(noisy(tests, seed + 2), "noisy", "scores"), "scores", "linear"), "scores", "network")
+    return metrics.evaluate(done, "pixels", {"noisy": "noisy", "linear": "linear", "network": "network"}, side, side, with_ssim=side >= 11), net
+
+
+def unpacked_tiles(tiles_table: DataFrame, side: int, seed: int = noise.SEED):
+    """What Rows.prepare needs for tiles: RGB in 0..1 as x and classes as y; in training, turned, flipped and jittered anew each epoch."""
+
+    def prepare(df: DataFrame, epoch: int | None) -> DataFrame:
+        turned = df if epoch is None else noise.augment(df, "name", "sat", "mask", side, seed, epoch, jitter=True)
+        return image_sources.unpack(image_sources.unpack(turned, "sat", "x"), "mask", "y").withColumn("y", F.transform("y", lambda v: F.round(v * 255)))
+
+    return prepare
+
+
+def train_segmentation(tiles_table: DataFrame, net: nets.SegNet, batch: int = 8, seed: int = noise.SEED, **train) -> nets.SegNet:
+    """net trained on the pairs of the train split (img_id, r, c, name, split, sat, mask), measured on those of the val split."""
+    pairs = tiles_table.where("mask IS NOT NULL").select("name", "split", "sat", "mask")
+    part = lambda name: Rows(pairs.where(F.col("split") == name), "name", "x", "y", batch, seed, unpacked_tiles(pairs, net.side, seed))
+    return net.fit_rows(part("train"), part("val"), **train)
+
+
+def train_classifier(images: DataFrame, net: nets.ConvNet, epochs: int = 5, batch: int = 32, share: float = 0.2, optimizer: str = "rmsprop", seed: int = noise.SEED, **train) -> nets.ConvNet:
+    """net trained on the train split of images (image_id, label, values in 0..1), measured on the rest after each epoch."""
+    parts = splits.train_test_split(images, "image_id", "label", share, seed)
+    part = lambda name: Rows(parts.where(F.col("split") == name).select("image_id", "values", "label"), "image_id", "values", "label", batch, seed)
+    return net.fit_rows(part("train"), part("test"), epochs, optimizer, **train)
+
+
 def classify(images: DataFrame, net: nets.ConvNet, share: float = 0.2, seed: int = noise.SEED) -> tuple[DataFrame, DataFrame]:
     """Scores of the held-out split (image_id, label, probs, predicted), and their accuracy; images has values in 0..1."""
     held = splits.train_test_split(images, "image_id", "label", share, seed).where("split = 'test'")

@@ -8,13 +8,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from gridlight.session import local_session
 
     os.environ.setdefault("GRIDLIGHT_DRIVER_MEMORY", "4g")
     session = local_session(4, 4, "tests")
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
     yield session
     session.stop()

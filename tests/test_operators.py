@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridlight.functions import names, pixels
-from gridlight.operators import history, metrics, nets, noise, pca, reservoir, scaling, splits, tiles
+from gridlight.operators import history, metrics, nets, noise, pca, ranking, reservoir, scaling, splits, tiles, training
 from gridlight.operators.ranking import global_rank
+from gridlight.sources import images as image_sources
 
 
 def frame(spark, vectors, **more):
@@ -221,3 +223,95 @@ def test_missing_source():
 
     with pytest.raises(FileNotFoundError, match="download"):
         require("/nowhere/at/all", "download it first")
+
+
+def test_splits_keep_every_row(spark):
+    """Null keys, null groups, repeated keys and columns named like helpers."""
+    rows = [(None if i % 7 == 0 else i // 2, None if i % 5 == 0 else i % 3, f"h{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, label int, _h string").repartition(3)
+    out = splits.stratified_split(df, "id", "label").collect()
+    assert len(out) == 40 and {r["_h"] for r in out} == {f"h{i}" for i in range(40)}
+    counts = Counter(r.split for r in out)
+    assert counts == {"train": 32, "val": 4, "test": 4}
+    grouped = splits.group_split(df, "label").collect()
+    assert len(grouped) == 40 and len({(r.label, r.split) for r in grouped}) == 4
+    ranked = ranking.shuffled_rank(df, "id", 1, name="_n").collect()
+    assert sorted(r["_n"] for r in ranked) == list(range(1, 41)) and ranked[0].asDict().keys() == {"id", "label", "_h", "_n"}
+
+
+def test_cubic_resize_against_the_definition():
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 256, (13, 9, 3), dtype=np.uint8)
+    cubic = lambda x: (1.5 * x - 2.5) * x * x + 1 if x < 1 else ((-0.5 * x + 2.5) * x - 4) * x + 2 if x < 2 else 0.0
+    def line(values, side):
+        scale = len(values) / side
+        wide = max(scale, 1)
+        out = []
+        for i in range(side):
+            centre = (i + 0.5) * scale
+            at = range(max(0, int(centre - 2 * wide + 0.5)), min(len(values), int(centre + 2 * wide + 0.5)))
+            w = [cubic(abs((k + 0.5 - centre) / wide)) for k in at]
+            out.append(min(255, max(0, int(np.floor(sum(a * float(values[k]) for a, k in zip(w, at)) / sum(w) + 0.5)))))
+        return out
+    for side in (5, 16):
+        wide = np.array([[line(image[y, :, c], side) for c in range(3)] for y in range(13)]).transpose(0, 2, 1)
+        want = np.array([[line(wide[:, x, c], side) for c in range(3)] for x in range(side)]).transpose(2, 0, 1)
+        assert np.abs(image_sources.shrink_cubic(image, side).astype(int) - want).max() <= 1
+    assert (image_sources.shrink_cubic(image[:9], 9) == image[:9]).all()
+
+
+def numeric(f, p, at, eps=1e-6):
+    old = p[at]
+    p[at] = old + eps
+    up = f()
+    p[at] = old - eps
+    down = f()
+    p[at] = old
+    return (up - down) / (2 * eps)
+
+
+@pytest.mark.parametrize("kind", ["classifier", "segmentation"])
+def test_gradients_against_differences(kind):
+    rng = np.random.default_rng(4)
+    if kind == "classifier":
+        net, y = nets.ConvNet.create(8, (3, 4), 5, 3), rng.integers(0, 3, (4, 1)).astype(float)
+    else:
+        net, y = nets.SegNet.create(8, (3, 4, 5), 3, drop=0.0), rng.integers(0, 3, (4, 64)).astype(float)
+    x = rng.random((4, 8 * 8 * 3))
+    grads, _ = net.step(x, y, rng)
+    loss = lambda: net.step(x, y, rng)[1]["loss"]
+    for p, g in zip(net.params(), grads):
+        for _ in range(3):
+            at = tuple(int(rng.integers(n)) for n in p.shape)
+            assert abs(numeric(loss, p, at) - g[at]) < 1e-5
+
+
+def test_training_streams_whole_tables(spark):
+    """Batches from a table: every row once, x beside its y, a new order each epoch; rates fall and best weights stay."""
+    n = 230
+    df = spark.createDataFrame([(i, [float(i), 1.0], [2.0 * i]) for i in range(n)], "image_id long, x array<double>, y array<double>").repartition(5)
+    rows = training.Rows(df, "image_id", "x", "y", 32)
+    seen = [list(rows.epoch(k)) for k in (0, 1, None)]
+    for batches in seen:
+        assert [len(x) for x, _ in batches[:-1]] == [32] * (n // 32) and sum(len(x) for x, _ in batches) == n
+        assert all((2 * x[:, :1] == y).all() for x, y in batches)
+        assert sorted(int(v) for x, _ in batches for v in x[:, 0]) == list(range(n))
+    assert seen[0][0][0].tolist() != seen[1][0][0].tolist()
+
+    class Constant:
+        def __init__(self, values):
+            self.values, self.history, self.w = iter(values), [], np.zeros(1)
+
+        def params(self):
+            return [self.w]
+
+        def step(self, x, y, rng):
+            return [np.ones(1)], {"loss": 1.0}
+
+        def measure(self, batches):
+            return {"loss": next(self.values)}
+
+    net = training.run(Constant([3, 2, 2, 2, 2, 2, 1]), training.Arrays(np.zeros((1, 1)), np.zeros((1, 1))), training.Arrays(np.zeros((0, 1)), np.zeros((0, 1))), training.Optimizer("sgd", 1.0), 7, patience=5, plateau=training.Plateau(0.5, 2))
+    assert [h["rate"] for h in net.history] == [1, 1, 1, 1, 0.5, 0.5, 0.25] and net.w[0] == -5.25
+    with pytest.raises(ValueError):
+        training.Optimizer("other").update([np.zeros(1)], [np.zeros(1)])

@@ -67,3 +67,50 @@ def test_command_line_defaults():
     assert (a.tile_size, a.n_tiles, a.downsample, a.workers) == (256, 9, False, None)
     b = cli.parser().parse_args(["segment", "--history", "h"])
     assert (b.epochs, b.batch_size, b.lr, b.lr_factor, b.lr_patience, b.es_patience, b.seed) == (50, 8, 1e-4, 0.5, 5, 10, 42)
+
+
+def test_digits_study(spark):
+    rng = np.random.default_rng(5)
+    base = rng.random((4, 144))
+    x = np.clip(base[rng.integers(0, 4, 90)] + rng.normal(0, 0.02, (90, 144)), 0, 1)
+    df = spark.createDataFrame([(i, i % 4, row.tolist()) for i, row in enumerate(x)], "image_id long, label int, pixels array<double>")
+    out, net = studies.digits(df.where("image_id < 70"), df.where("image_id >= 70"), 12, 0.3, 4, (32, 144), batch=16, epochs=15, rate=5e-3, drop=0.0)
+    got = {r.model: r for r in out.collect()}
+    assert set(got) == {"clean", "noisy", "linear", "network"} and got["network"].mse < got["noisy"].mse and got["network"].ssim > got["noisy"].ssim
+    assert net.history[0]["val_loss"] > net.history[-1]["val_loss"] and net.weights[0].shape == (4, 32)
+
+
+def test_classifier_learns(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((120, 8, 8, 3)) * 0.2
+    for i in range(120):
+        x[i, :, :, i % 3] += 0.6
+    df = spark.createDataFrame([(i, i % 3, row.ravel().tolist()) for i, row in enumerate(x)], "image_id long, label int, values array<double>")
+    net = studies.train_classifier(df, nets.ConvNet.create(8, (4, 8), 16, 3), epochs=4, batch=16)
+    assert [set(h) for h in net.history] == [{"epoch", "loss", "accuracy", "val_loss", "val_accuracy", "rate"}] * 4
+    assert studies.classify(df, net)[1].first()[0] > 0.9
+
+
+def test_segmentation_learns(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(24):
+        mask = np.zeros((8, 8), np.uint8)
+        mask[:, rng.integers(2, 7) :] = 1
+        image = np.where(mask[..., None] == 1, [200, 40, 40], [20, 160, 60]) + rng.integers(0, 30, (8, 8, 3))
+        rows.append((f"t{i:02}_00_00", "val" if i % 4 == 0 else "train", image.astype(np.uint8).tobytes(), mask.tobytes() if i != 5 else None))
+    tiles_table = spark.createDataFrame(rows, "name string, split string, sat binary, mask binary")
+    net = studies.train_segmentation(tiles_table, nets.SegNet.create(8, (4, 6), 2, drop=0.1), 4, rate=2e-2, epochs=6)
+    assert len(net.history) == 6 and max(h["val_miou"] for h in net.history) > 0.8
+    assert {"val_iou_0", "val_accuracy", "rate", "loss"} <= set(net.history[0])
+
+
+def test_readout_pairs_rows_by_id(spark, tmp_path, capsys):
+    rng = np.random.default_rng(8)
+    x = rng.random((50, 3))
+    for name, values, order in (("x", x, range(50)), ("y", x[:, :2], reversed(range(50)))):
+        spark.createDataFrame([(i, values[i].tolist()) for i in order], "image_id long, v array<double>").repartition(3).write.parquet(str(tmp_path / name))
+    paths = [f"--{k}={tmp_path / k[0]}" for k in ("x", "y", "xval", "yval")]
+    cli.main(["readout", *paths, f"--out={tmp_path / 'net'}", "--epochs=20", "--lr=0.03", "--dropout=0", "--batch=16"], hidden=(16,))
+    last = eval(capsys.readouterr().out.strip().splitlines()[-1])
+    assert last["val_loss"] < 0.01 and (tmp_path / "net" / "arrays.npz").exists()
