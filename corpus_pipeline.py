@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlight.llm import jaccard, mixing, packing, quality, secrets
-from gridlight.llm.common import durable, table
+from gridlight.llm.common import durable, release, scratch, table
+from gridlight.operators.ranking import unused
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose ranking score reaches the cut; the ranking is learned from the labels outside the held-out fold."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, "__score", "__kept").where("__kept = 1").select(*docs.columns)
+    score, kept = unused(docs, "score", "kept")
+    return quality.classify(docs, model, score, kept).where(F.col(kept) == 1).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +28,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     del spark, sf_dir
     groups = jaccard.join(docs)
-    unit = F.struct("doc_id").alias("__unit")  # a struct can be joined where its part is null
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(unit).distinct()
-    kept = docs.withColumn("__unit", unit).join(stay, "__unit", "left_semi")
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["__unit", "__hash"]).select(*docs.columns)
+    unit, mark = unused(docs, "unit", "mark")
+    own = F.struct("doc_id").alias(unit)  # a struct can be joined where its part is null
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(own).distinct()
+    kept = docs.withColumn(unit, own).join(stay, unit, "left_semi")
+    return kept.withColumn(mark, F.xxhash64("text")).dropDuplicates([unit, mark]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +67,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = durable(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):  # a stage's own tables go once its rows are written, and so do the rows of the stage before
+            made = durable(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
+        release(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
