@@ -8,6 +8,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+#: What each open scratch() has to delete, the innermost last.
+_made: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("made", default=())
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -42,14 +44,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables that durable() writes inside are deleted at the end, but for those with keep=True."""
-    token = _made.set([])
+    """Tables that durable() writes inside are deleted at the end; those with keep=True at the end of the scratch around it."""
+    mine: list[str] = []
+    token = _made.set((*_made.get(), mine))
     try:
         yield
     finally:
-        paths = _made.get() or []
         _made.reset(token)
-        for path in paths:
+        for path in mine:
             _delete(spark, path)
 
 
@@ -66,9 +68,12 @@ def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     bounded(spark)
     path = f"{shared_dir(spark)}/gridlight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    made = _made.get()
-    if made is not None and not keep:
-        made.append(path)
+    made = _made.get()[: -1 if keep else None]
+    if made:
+        made[-1].append(path)
+    # what nobody releases goes when the session's JVM ends
+    at, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsparkSession.sessionState().newHadoopConf()
+    at.getFileSystem(conf).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out
@@ -104,6 +109,36 @@ def map_rows(df: DataFrame, make: Callable[[list[list]], list[list]], schema: st
     return df.mapInArrow(run, schema)
 
 
+class Maybe:
+    """Whether a hash may be among those of a table: no false negatives, and 8 MB whatever the number of hashes. Three bits
+    stand for a hash; with a million hashes one foreign hash in 10,000 passes."""
+
+    BITS, SHIFTS = 1 << 26, (0, 19, 38)
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def __call__(self, h: int) -> bool:
+        return bool(self.many(np.array([h]).astype(np.uint64).view(np.int64))[0])
+
+    def many(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for s in self.SHIFTS:
+            at = (h.astype(np.int64).view(np.uint64) >> np.uint64(s)) & np.uint64(self.BITS - 1)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def maybe(keys: DataFrame, column: str) -> Maybe:
+    places = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(Maybe.BITS - 1)) for s in Maybe.SHIFTS])
+    at = keys.select(F.explode(places).alias("at")).distinct()
+    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+    words = np.zeros(Maybe.BITS // 64, np.uint64)
+    got = rows.toArrow()  # at most BITS / 64 rows
+    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return Maybe(words)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("long")

@@ -244,36 +244,6 @@ def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "sid long, n long, slack long, prefix array<long>, early int" + "".join(f", {c} long" for c in S))
 
 
-class Maybe:
-    """Whether a hash may be among those of a table: no false negatives, and 8 MB whatever the number of hashes. Three bits
-    stand for a hash; with a million hashes one foreign hash in 10,000 passes."""
-
-    BITS, SHIFTS = 1 << 26, (0, 19, 38)
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def __call__(self, h: int) -> bool:
-        return bool(self.many(np.array([h]).astype(np.uint64).view(np.int64))[0])
-
-    def many(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for s in self.SHIFTS:
-            at = (h.astype(np.int64).view(np.uint64) >> np.uint64(s)) & np.uint64(self.BITS - 1)
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
-def maybe(keys: DataFrame, column: str) -> Maybe:
-    places = F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(Maybe.BITS - 1)) for s in Maybe.SHIFTS])
-    at = keys.select(F.explode(places).alias("at")).distinct()
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
-    words = np.zeros(Maybe.BITS // 64, np.uint64)
-    got = rows.toArrow()  # at most BITS / 64 rows
-    words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return Maybe(words)
-
-
 def whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
     """sid, whole: all hashes of the sets in needed (sid), made again from the texts of one document per set; rows has doc_id and
     sid. A set may come more than once where documents share an id."""

@@ -1,15 +1,15 @@
 """Removal of repeated passages by a common-prefix-aware merge sort of suffixes.
 
-A byte goes if it is covered by a SPAN-byte string that also starts earlier. Each task sorts the first SPAN bytes of its
-suffixes and front-codes the run (length of the prefix shared with the line before, then the rest); runs meet in a loser tree that
-compares no byte twice, as it carries the known common prefixes along, and gives out the common prefix of neighbours.
-
-Only suffixes that can matter are sorted. Every string has an anchor, the position of the smallest hash among its K-byte
-substrings, and equal strings have equal anchors at the same place. Anchors whose substring occurs once are done with. Strings
-of an anchor whose whole surroundings also stand elsewhere are settled by the hash of the surroundings. Of what is left, the
-edges of repeated passages and chance phrases, one suffix for each different surrounding is sorted: the one that starts at the
-anchor. A string that starts j bytes before it equals another if the suffixes share SPAN - j bytes, which makes them neighbours
-in the merged order, and the j bytes before are the same.
+A byte goes if it is covered by a SPAN-byte string that also starts earlier. Each task sorts suffixes and front-codes the run
+(length of the prefix shared with the line before, then the rest); runs are cut at sampled splitters, and the pieces of a range
+meet in a loser tree that compares no byte twice, as it carries the known common prefixes along, and gives out the common prefix
+of neighbours. Which strings are equal is read off those prefixes.
+
+Not every suffix is sorted. Every string has an anchor, the position of the smallest hash among its K-byte grams, and equal
+strings have equal anchors at the same place. So one suffix per anchor is sorted, the one that starts at its gram, and only
+if that gram occurs again. A suffix is cut where the last string of its anchor ends; the bytes before the anchor that its
+strings cover follow it, nearest first. A string that starts j bytes before its anchor equals another if the suffixes share
+SPAN - j bytes and the j bytes before are the same. Of suffixes that agree in all of that within a run, only the first goes on.
 """
 
 from __future__ import annotations
@@ -19,18 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlight.llm.common import durable, scratch
-from gridlight.llm.jaccard import maybe
+from gridlight.llm.common import durable, maybe, scratch
+from gridlight.operators.ranking import global_rank
 
 SPAN, K = 100, 32
-#: Bytes before an anchor that a string can start at most. Bytes that are hashed at once; suffixes of a sorted run; suffixes
-#: that a merging task gets, about.
+#: Bytes before an anchor that a string can start at most, and bytes of a line: suffix, bytes before, how many of either count.
 LEFT = SPAN - K
-CHUNK, RUN, MERGE = 1 << 18, 20_000, 50_000
-KEPT = 200_000
+LINE = SPAN + LEFT + 2
+#: Bytes that are hashed at once; suffixes of a sorted run; suffixes that a merging task gets, about; ranges, at most. One gram in
+#: GRAMS is sent along as a sample for the splitters, of which about SAMPLES are used for a range.
+CHUNK, RUN, MERGE, RANGES = 1 << 18, 50_000, 50_000, 1 << 16
+GRAMS, SAMPLES = 1024, 16
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 1 << 64)
 _BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -96,66 +99,86 @@ class Anchors:
     def kinds(self) -> np.ndarray:
         return self.hashes(self.at, K)
 
-    def surroundings(self) -> np.ndarray:
-        """A hash of all that the anchor's strings cover, and of where in it the anchor is."""
-        size = self.high - self.low + SPAN
-        where = (self.at - self.low) * 4096 + size
-        return mix(self.hashes(self.low, size) + where.astype(np.uint64) * np.uint64(_M))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]):
-    """(did, mark, texts) lists of about CHUNK bytes."""
+    def lines(self, rows: np.ndarray) -> np.ndarray:
+        """LINE bytes per anchor: the suffix from it, the bytes before it from the nearest on, both zero beyond what the anchor's strings
+        cover, and how many bytes of either that is."""
+        at, before, after = self.at[rows], self.at[rows] - self.low[rows], self.high[rows] - self.at[rows] + SPAN
+        data = np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(self.data, np.uint8), np.zeros(SPAN, np.uint8)])
+        window = np.lib.stride_tricks.sliding_window_view(data, LEFT + SPAN)[at]
+        out = np.empty((len(rows), LINE), np.uint8)
+        out[:, :SPAN] = np.where(np.arange(SPAN) < after[:, None], window[:, LEFT:], 0)
+        out[:, SPAN : SPAN + LEFT] = np.where(np.arange(LEFT) < before[:, None], window[:, LEFT - 1 :: -1] if LEFT else 0, 0)
+        out[:, -2], out[:, -1] = before, after
+        return out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int):
+    """(did, mark, offset, texts) lists of about ``size`` bytes; longer texts come in pieces that no string of SPAN bytes is missed by."""
     for batch in batches:
-        dids, marks, texts, total = [], [], [], 0
+        rows, total = [], 0
         for i in range(batch.num_rows):
             t = batch.column(2)[i].as_py()
-            dids.append(batch.column(0)[i].as_py())
-            marks.append(batch.column(1)[i].as_py())
-            texts.append(t.encode("utf-8", "surrogatepass") if t else b"")
-            total += len(texts[-1])
-            if total >= CHUNK:
-                yield dids, marks, texts
-                dids, marks, texts, total = [], [], [], 0
-        if texts:
-            yield dids, marks, texts
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+            data = t.encode("utf-8", "surrogatepass") if t else b""
+            for at in range(0, max(1, len(data) - SPAN + 1), size):
+                rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at, data[at : at + size + SPAN - 1]))
+                total += len(rows[-1][3])
+                if total >= size:
+                    yield list(map(list, zip(*rows, strict=True)))
+                    rows, total = [], 0
+        if rows:
+            yield list(map(list, zip(*rows, strict=True)))
 
 
-def anchors(keyed: DataFrame) -> DataFrame:
-    """kind, did, mark, place (at, strings before, strings after, in one long), around: of every anchor; copies of a
-    text within a task are left out if an earlier one was there."""
+def grams(keyed: DataFrame) -> DataFrame:
+    """kind, n, gram: hashes of the grams at anchors, how often a task has them, and of one in GRAMS the bytes."""
 
     def run(batches):
-        first: dict[tuple[int, int], int] = {}
-        for dids, marks, texts in _chunks(batches):
-            rows = []
-            for i, (d, m, t) in enumerate(zip(dids, marks, texts, strict=True)):
-                if len(t) < SPAN or first.get((m, len(t)), d + 1) <= d:
-                    continue
-                if len(first) < KEPT or (m, len(t)) in first:
-                    first[m, len(t)] = d
-                rows.append(i)
-            a = Anchors([texts[i] for i in rows])
-            own = np.array([dids[i] for i in rows], np.int64)[a.doc]
-            mark = np.array([marks[i] for i in rows], np.int64)[a.doc]
-            place = ((a.at - a.starts[a.doc]) << 16) | ((a.at - a.low) << 8) | (a.high - a.at + SPAN)
-            yield pa.RecordBatch.from_arrays([_signed(a.kinds()), pa.array(own), pa.array(mark), pa.array(place), _signed(a.surroundings())], names=["kind", "did", "mark", "place", "around"])
-
-    return keyed.mapInArrow(run, "kind long, did long, mark long, place long, around long")
-
-
-def sort_run(strings: np.ndarray, numbers: np.ndarray, lefts: np.ndarray) -> bytes:
-    """A front-coded run of suffixes: rows of SPAN bytes, of three numbers, and of the LEFT bytes before. It holds how many
-    bytes each suffix shares with the one before, the numbers, the bytes before, and the rests of the suffixes."""
-    order = np.argsort(np.ascontiguousarray(strings).view(f"S{SPAN}").ravel(), kind="stable")
-    strings = strings[order]
-    differ = strings[1:] != strings[:-1]
-    common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), SPAN)]).astype(np.uint8)
-    rests = strings[np.arange(SPAN) >= common[:, None]].tobytes()
-    return len(order).to_bytes(4, "little") + common.tobytes() + numbers[order].tobytes() + lefts[order].tobytes() + rests
+        for *_, texts in _chunks(batches, CHUNK):
+            a = Anchors(texts)
+            kinds, first, n = np.unique(a.kinds(), return_index=True, return_counts=True)
+            sampled = set(np.flatnonzero(kinds % np.uint64(GRAMS) == 0).tolist())
+            at = a.at[first]
+            shown = [a.data[at[i] : at[i] + K] if i in sampled else None for i in range(len(kinds))] if sampled else [None] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(shown, pa.binary())], names=["kind", "n", "gram"])
+
+    return keyed.mapInArrow(run, "kind long, n long, gram binary")
+
+
+def splitters(again: DataFrame, total: int, kinds: int) -> np.ndarray:
+    """Grams that part all suffixes into ranges of about MERGE; a gram is never parted. Quantiles of a sample by hash."""
+    parts = min(RANGES, -(-total // MERGE))
+    every = GRAMS
+    while kinds // every > 2 * SAMPLES * parts:
+        every *= 2
+    sample = again.where(F.col("gram").isNotNull() & (F.pmod("kind", F.lit(every)) == 0)).select("gram", "n").toArrow()  # some SAMPLES * RANGES rows
+    order = np.argsort(got := np.array(sample.column("gram").to_pylist(), f"S{K}"), kind="stable")
+    if parts < 2 or not len(order):
+        return np.zeros(0, f"S{K}")
+    upto = np.cumsum(sample.column("n").to_numpy()[order])
+    return np.unique(got[order][np.searchsorted(upto, np.arange(1, parts) * upto[-1] / parts)])
+
+
+def sort_run(lines: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, numbers, common) of a run in order, without lines that equal one of an earlier place; and those places' strings, as
+    rows of (did, mark, first start, last start). common is the prefix that a line shares with the one before."""
+    order = np.lexsort((numbers[:, 2], numbers[:, 1], numbers[:, 0]))
+    order = order[np.argsort(np.ascontiguousarray(lines[order]).view(f"S{LINE}").ravel(), kind="stable")]
+    lines, numbers = lines[order], numbers[order]
+    differ = lines[1:] != lines[:-1]
+    common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), LINE)])[: len(lines)].astype(np.uint8)
+    leads = common < LINE
+    leader = np.maximum.accumulate(np.where(leads, np.arange(len(lines)), 0))
+    later = np.flatnonzero((numbers != numbers[leader]).any(1))
+    gone = np.stack([numbers[later, 0], numbers[later, 1], numbers[later, 2] - lines[later, -2], numbers[later, 2] + lines[later, -1].astype(np.int64) - SPAN], axis=1)
+    return lines[leads], numbers[leads], common[leads], gone
+
+
+def code_run(lines: np.ndarray, numbers: np.ndarray, common: np.ndarray) -> bytes:
+    """A front-coded run: how many lines, what each shares with the one before, their numbers, and the rests of the lines."""
+    common = common.copy()
+    common[:1] = 0
+    rests = lines[np.arange(LINE) >= common[:, None]].tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(lines).to_bytes(4, "little") + common.tobytes() + np.ascontiguousarray(numbers.T).tobytes() + rests)
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -172,20 +195,20 @@ def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     return low
 
 
-def read_run(blob: bytes) -> Iterator[tuple[int, bytes, bytes]]:
-    """(common prefix with the line before, suffix, numbers and bytes before it) of a front-coded run."""
-    n = int.from_bytes(blob[:4], "little")
-    numbers, lefts, at = 4 + n, 4 + 25 * n, 4 + (25 + LEFT) * n
+def read_run(blob: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int]]]:
+    """(common prefix with the line before, line, numbers) of a front-coded run."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    numbers, at = np.frombuffer(raw, np.int64, 3 * n, 4 + n).reshape(3, n).T.tolist(), 4 + 25 * n
     before = b""
-    for k in range(n):
-        c = blob[4 + k]
-        before = before[:c] + blob[at : at + SPAN - c]
-        at += SPAN - c
-        yield c, before, blob[numbers + 24 * k : numbers + 24 * k + 24] + blob[lefts + LEFT * k : lefts + LEFT * k + LEFT]
+    for c, who in zip(raw[4 : 4 + n], map(tuple, numbers), strict=True):
+        before = before[:c] + raw[at : at + LINE - c]
+        at += LINE - c
+        yield c, before, who
 
 
 class LoserTree:
-    """Merges sorted runs. Each loser keeps its common prefix with the string that beat it, so that a string that comes up
+    """Merges sorted runs. Each loser keeps its common prefix with the line that beat it, so that a line that comes up
     again is compared only from the first byte on that is not yet known."""
 
     def __init__(self, runs: list[Iterator]):
@@ -194,7 +217,7 @@ class LoserTree:
         while self.size < max(1, len(runs)):
             self.size *= 2
         self.heads: list = [next(r, None) for r in runs] + [None] * (self.size - len(runs))
-        self.common = [0] * self.size  # with the last string that was given out, or with the one that beat it
+        self.common = [0] * self.size  # with the last line that was given out, or with the one that beat it
         self.lost = [0] * self.size
         self.winner = self._build(1)
 
@@ -206,150 +229,163 @@ class LoserTree:
         return w
 
     def _play(self, a: int, b: int) -> tuple[int, int]:
-        """(winner, loser), both having a known common prefix with the same smaller string."""
+        """(winner, loser), both having a known common prefix with the same smaller line."""
         x, y = self.heads[a], self.heads[b]
         if x is None or y is None:
             return (b, a) if x is None else (a, b)
         p, q = self.common[a], self.common[b]
-        if p != q:  # the one that shares more with the smaller string is smaller; the loser's known prefix holds
+        if p != q:  # the one that shares more with the smaller line is smaller; the loser's known prefix holds
             return (a, b) if p > q else (b, a)
         n = shared_prefix(x[1], y[1], p)
-        if n == SPAN:
+        if n == len(x[1]):
             w, lost = (a, b) if x[2] <= y[2] else (b, a)
         else:
             w, lost = (a, b) if x[1][n] < y[1][n] else (b, a)
         self.common[lost] = n
         return w, lost
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
-        """(common prefix with the string before, what goes with the string) in order."""
-        while (head := self.heads[self.winner]) is not None:
+    def __iter__(self) -> Iterator[tuple[int, bytes, tuple]]:
+        """(common prefix with the line before, line, what goes with it) in order."""
+        heads, common, lost, size, play = self.heads, self.common, self.lost, self.size, self._play
+        while (head := heads[self.winner]) is not None:
             w = self.winner
-            yield self.common[w], head[2]
+            yield common[w], head[1], head[2]
             after = next(self.runs[w], None)
-            self.heads[w] = after
-            self.common[w] = after[0] if after else 0
-            node = (w + self.size) // 2
+            heads[w] = after
+            common[w] = after[0] if after else 0
+            node = (w + size) // 2
             while node:
-                # losers on this path were beaten by the string just given out, so their prefixes refer to it, too
-                w, self.lost[node] = self._play(w, self.lost[node])
+                # losers on this path were beaten by the line just given out, so their prefixes refer to it, too
+                w, lost[node] = play(w, lost[node])
                 node //= 2
             self.winner = w
 
 
-def equal_later(common: np.ndarray, numbers: np.ndarray, lefts: np.ndarray) -> np.ndarray:
-    """Rows (did, mark, start) of the strings that equal an earlier one, from merged suffixes: common prefixes with the
-    suffix before, (did, mark, place) and the bytes before, the last one nearest."""
+def equal_later(common: np.ndarray, lines: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Rows (did, mark, start) of the strings that equal an earlier one, from merged lines: common prefixes with the line before,
+    and (did, mark, at). Rows of one place are neither earlier nor later."""
     n = len(common)
-    at, low, high = numbers[:, 2] >> 16, (numbers[:, 2] >> 8) & 255, numbers[:, 2] & 255
+    at, high, low = numbers[:, 2], lines[:, -2].astype(np.int64), SPAN - lines[:, -1].astype(np.int64)
+    order = np.lexsort((at, numbers[:, 1], numbers[:, 0]))
     rank = np.empty(n, np.int64)
-    rank[np.lexsort((at, numbers[:, 1], numbers[:, 0]))] = np.arange(n)
+    rank[order] = np.cumsum(np.concatenate([[False] * bool(n), (numbers[order][1:] != numbers[order][:-1]).any(1)]))
     after = np.append(common[1:], 0)
     before, out = np.zeros(n, np.uint64), []
     for j in range(LEFT + 1):
         if j:
-            before = before * np.uint64(_M) + _BYTES[lefts[:, LEFT - j]]
+            before = before * np.uint64(_M) + _BYTES[lines[:, SPAN + j - 1]]
         need = SPAN - j
         use = np.flatnonzero((low <= j) & (j <= high) & ((common >= need) | (after >= need)))
         if len(use) < 2:
             continue
+        # lines that share ``need`` bytes are neighbours; among them the bytes before tell strings apart
         key = mix(before[use] + np.cumsum(common < need)[use].astype(np.uint64) * np.uint64(_INV))
         order = np.lexsort((rank[use], key))
-        later = use[order[1:][key[order[1:]] == key[order[:-1]]]]
+        same = np.concatenate([[False], key[order[1:]] == key[order[:-1]]])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        later = use[order[rank[use][order] > rank[use][order[first]]]]
         out.append(np.stack([numbers[later, 0], numbers[later, 1], at[later] - j], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
-def covered(x: np.ndarray) -> pa.Table:
-    """did, mark, low, high: the bytes that strings, rows of (did, mark, start), cover, in maximal runs."""
-    x = x.reshape(-1, 3)[np.lexsort(x.reshape(-1, 3).T[::-1])]
-    new = np.flatnonzero(np.concatenate([[True] * bool(len(x)), (x[1:, :2] != x[:-1, :2]).any(1) | (x[1:, 2] > x[:-1, 2] + SPAN)]))
-    last = np.append(new[1:], len(x)).astype(np.int64)[: len(new)] - 1
-    return pa.table({"did": x[new, 0], "mark": x[new, 1], "low": x[new, 2], "high": x[last, 2] + SPAN})
+def covered(x: np.ndarray) -> np.ndarray:
+    """did, mark, low, high: the bytes that strings cover, in maximal runs; rows are (did, mark, first start, last start)."""
+    x = x[np.lexsort(x.T[::-1])]
+    if not len(x):
+        return x
+    place = np.concatenate([[0], np.cumsum((x[1:, :2] != x[:-1, :2]).any(1))])
+    # the furthest end so far, within each text
+    wide = int(x[:, 3].max()) + SPAN + 1
+    end = np.maximum.accumulate(place * wide + x[:, 3] + SPAN) - place * wide
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (x[1:, 2] > end[:-1])]))
+    last = np.append(new[1:], len(x)) - 1
+    return np.stack([x[new, 0], x[new, 1], x[new, 2], end[last]], axis=1)
+
 
+_SPANS = ("did", "mark", "low", "high")
 
-def sorted_runs(keyed: DataFrame, wanted, parts: int) -> DataFrame:
-    """part, run: sorted, front-coded runs of the suffixes at all wanted anchors; a part has all suffixes of an anchor's hash."""
+
+def sorted_runs(keyed: DataFrame, wanted, cuts: np.ndarray) -> DataFrame:
+    """part, run, spans: pieces of sorted, front-coded runs, a part having all suffixes between two splitters; spans are what a run
+    itself shows to stand earlier, as four longs each."""
 
     def flush(held: list[tuple[np.ndarray, ...]]):
-        to, strings, numbers, lefts = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(to, kind="stable")
-        pieces = np.split(order, np.flatnonzero(np.diff(to[order])) + 1)
-        return pa.RecordBatch.from_arrays([pa.array([int(to[p[0]]) for p in pieces], pa.int64()), pa.array([sort_run(strings[p], numbers[p], lefts[p]) for p in pieces], pa.binary())], names=["part", "run"])
+        lines, numbers, common, gone = sort_run(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        to = np.searchsorted(cuts, np.ascontiguousarray(lines[:, :K]).view(f"S{K}").ravel(), side="right")
+        ends = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+        pieces = list(zip(ends, ends[1:], strict=False))
+        spans = [covered(gone).tobytes()] + [b""] * (len(pieces) - 1)
+        return pa.RecordBatch.from_arrays([pa.array([int(to[i]) for i, _ in pieces], pa.int64()), pa.array([code_run(lines[i:k], numbers[i:k], common[i:k]) for i, k in pieces], pa.binary()), pa.array(spans, pa.binary())], names=["part", "run", "spans"])
 
     def run(batches):
         held, n = [], 0
-        for dids, marks, texts in _chunks(batches):
+        for dids, marks, offsets, texts in _chunks(batches, CHUNK):
             a = Anchors(texts)
-            own = np.array(marks, np.int64)
-            hit = np.flatnonzero(wanted.many(own[a.doc] ^ (a.at - a.starts[a.doc])))
-            if not len(hit):
-                continue
-            doc, at = a.doc[hit], a.at[hit]
-            # bytes beyond either end of the chunk are zero; those of a neighbouring text are never looked at, as strings
-            # that would reach there are not the anchor's
-            data = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(a.data, np.uint8), np.zeros(SPAN, np.uint8)]), LEFT + SPAN)[at]
-            place = ((at - a.starts[doc]) << 16) | ((at - a.high[hit]) << 8) | (at - a.low[hit])
-            numbers = np.stack([np.array(dids, np.int64)[doc], own[doc], place], axis=1)
-            held.append(((a.kinds()[hit] % np.uint64(parts)).astype(np.int64), data[:, LEFT:], numbers, data[:, :LEFT]))
-            n += len(hit)
-            if n >= RUN:
-                yield flush(held)
-                held, n = [], 0
+            hit = np.flatnonzero(wanted.many(a.kinds().view(np.int64)))
+            for at in range(0, len(hit), RUN):
+                rows = hit[at : at + RUN]
+                doc = a.doc[rows]
+                held.append((a.lines(rows), np.stack([np.array(dids, np.int64)[doc], np.array(marks, np.int64)[doc], a.at[rows] - a.starts[doc] + np.array(offsets, np.int64)[doc]], axis=1)))
+                n += len(rows)
+                if n >= RUN:
+                    yield flush(held)
+                    held, n = [], 0
         if held:
             yield flush(held)
 
-    return keyed.mapInArrow(run, "part long, run binary")
+    return keyed.mapInArrow(run, "part long, run binary, spans binary")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """did, mark, low, high: what strings cover that stand earlier."""
 
     def run(group: pa.Table) -> pa.Table:
-        common, rest = bytearray(), bytearray()
-        for c, x in LoserTree([read_run(b) for b in group.column("run").to_pylist()]):
-            common.append(c)
-            rest += x
-        table = np.frombuffer(rest, np.uint8).reshape(len(common), 24 + LEFT)
-        return covered(equal_later(np.frombuffer(common, np.uint8).astype(np.int64), np.ascontiguousarray(table[:, :24]).view(np.int64), table[:, 24:]))
-
-    return runs.groupBy("part").applyInArrow(run, "did long, mark long, low long, high long")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """did, mark, low, high: byte ranges to remove; mark is a hash of the text, did the doc_id (null: the largest long)."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("did"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-    # whole copies: all of a later one goes
-    small = durable(keyed.select("did", "mark", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= SPAN), "digests")
-    first = small.groupBy("digest").agg(F.min("did").alias("first"))
-    copies = small.join(first, "digest").where("did > first").select("did", "mark", F.lit(0).cast("long").alias("low"), F.col("n").alias("high")).distinct()
-    # anchors that occur again, and of those the first with its surroundings
-    by, same = Window.partitionBy("kind"), Window.partitionBy("kind", "around")
-    me = F.struct("did", "mark", "place")
-    again = anchors(keyed).withColumn("n", F.count("*").over(by)).withColumn("kinds", F.max("around").over(by) != F.min("around").over(by)).where("n > 1")
-    again = durable(again.withColumn("leads", F.min(me).over(same) == me).select("did", "mark", "place", "leads", "kinds"), "anchors")
-    at, before, after = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    settled = again.where("NOT leads").select("did", "mark", (at - before).alias("low"), (at + after).alias("high"))
-    open_ = again.where("leads AND kinds").select((F.col("mark").bitwiseXOR(at)).alias("key"))
-    n = open_.count()
-    out = copies.union(settled)
-    if n:
-        out = out.union(merge_runs(sorted_runs(keyed, maybe(open_, "key"), n // MERGE + 1)))
-    return out
+        common, lines, numbers = bytearray(), [], []
+        for c, line, who in LoserTree([read_run(b) for b in group.column("run").to_pylist()]):
+            common.append(min(c, SPAN))
+            lines.append(line)
+            numbers.append(who)
+        table = np.frombuffer(b"".join(lines), np.uint8).reshape(len(lines), LINE)
+        later = equal_later(np.frombuffer(common, np.uint8).astype(np.int64), table, np.array(numbers, np.int64).reshape(-1, 3))
+        known = np.frombuffer(b"".join(group.column("spans").to_pylist()), np.int64).reshape(-1, 4)
+        spans = np.concatenate([covered(np.concatenate([later, later[:, 2:]], axis=1)), known])
+        return pa.table({c: np.ascontiguousarray(spans[:, i]) for i, c in enumerate(_SPANS)})
+
+    return runs.groupBy("part").applyInArrow(run, ", ".join(f"{c} long" for c in _SPANS))
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """docs with did, a number in the order of doc_id (null: the largest long), and mark, a hash of the text."""
+    kind = docs.schema["doc_id"].dataType.typeName()
+    if kind in ("long", "integer", "short", "byte"):
+        numbered = docs.withColumn("did", F.col("doc_id").cast("long"))
+    else:
+        ids = global_rank(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", name="did")
+        numbered = docs.join(ids, "doc_id", "left")
+    return numbered.withColumn("did", F.coalesce("did", F.lit((1 << 63) - 1))).withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0)))
+
+
+def repeats(keyed: DataFrame) -> DataFrame:
+    """did, mark, low, high: byte ranges to remove."""
+    keyed = keyed.select("did", "mark", F.coalesce("text", F.lit("")).alias("text"))
+    again = durable(grams(keyed).groupBy("kind").agg(F.sum("n").alias("n"), F.max("gram").alias("gram")).where("n > 1"), "grams")
+    sizes = again.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
+    if not sizes.kinds:
+        return keyed.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in _SPANS))
+    return merge_runs(sorted_runs(keyed, maybe(again, "kind"), splitters(again, sizes.n, sizes.kinds)))
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     Null texts count as empty; texts of under SPAN bytes lose nothing; of rows with one doc_id and one text neither is
-    earlier; texts under one doc_id that differ stand in the order of a hash; rows without an id stand last. Other columns
-    are ignored; no rows give no rows.
+    earlier; texts under one doc_id that differ stand in the order of a hash; rows without an id stand last. Ids that are not whole
+    numbers are taken in their order. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select("doc_id", "text")
     with scratch(docs.sparkSession):
-        spans = durable(repeats(docs).groupBy("did", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans", keep=True)
-    keyed = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("mark", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    joined = keyed.join(spans, ["did", "mark"], "left").select("doc_id", "text", "spans")
+        spans = durable(repeats(places(docs)).groupBy("did", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans", keep=True)
+    joined = places(docs).join(spans, ["did", "mark"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
