@@ -6,7 +6,9 @@ the cells hold as many entries as its budget says; all their entries are ranked
 and budget are fitted on a bounded sample, every vector is indexed.
 
 Distances are negative inner products, so that vectors of unequal length are in order, too. Cells are dealt into blocks of
-bounded size, a crowded cell into several; a query is sent to the blocks that hold a cell it visits, in groups of bounded size.
+bounded size, a crowded cell into several; queries of the same or neighbouring cells form groups of bounded size. A query is sent
+to the blocks that hold a cell it visits, a block to the groups that visit it, and only visited cells are scored. The number of
+cells grows with the table.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from gridlight.llm.common import durable
 K = 20
 #: Bounds of what is fitted on: vectors, and queries among them for the budget.
 SAMPLE, TRIALS = 12_000, 300
+#: Entries of a cell, about, while both halves have no more than MOST centroids, which the sample can bear.
+CELL, MOST = 50, 1024
 #: Share of a sample query's neighbours whose cells the budget is to reach. Entries of a block, queries of a group.
-AIM, BLOCK, GROUP = 0.97, 8192, 2048
+AIM, BLOCK, GROUP = 0.95, 2048, 512
 ROUNDS = 10
 
 
@@ -95,7 +99,7 @@ def fit(sample: np.ndarray, total: int, seed: int = 3) -> Index:
     """
     rng = np.random.default_rng(seed)
     half = max(1, sample.shape[1] // 2)
-    k = int(np.clip(round((total / 50) ** 0.5), 4, 64))
+    k = int(np.clip(round((total / CELL) ** 0.5), 4, MOST))
     index = Index(kmeans(sample[:, :half], k, rng), kmeans(sample[:, half:], k, rng), 1.0)
     cells = index.cells(sample)
     counts = np.bincount(cells, minlength=len(index.first) * len(index.second))
@@ -119,6 +123,52 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
+def deal(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per cell its first block and how many blocks it has: cells in a row fill a block; a larger cell has blocks of its own."""
+    first, parts, block, held = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // size)), 0, 0
+    for c in np.flatnonzero(counts):
+        if held and held + counts[c] > size:
+            block, held = block + 1, 0
+        first[c] = block
+        held += counts[c]
+        if parts[c] > 1:
+            block, held = block + int(parts[c]), 0
+    return first, parts
+
+
+def visits(index: Index, q: np.ndarray, reach: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Queries x cells: whether a query goes to a cell; a little beyond its reach, so that rounding never keeps it from one."""
+    da, db = index.distances(q)
+    return da[:, cells // len(index.second)] + db[:, cells % len(index.second)] <= (reach + 1e-9 * (1 + np.abs(reach)))[:, None]
+
+
+def best_of_block(index: Index, x: np.ndarray, ids: np.ndarray, cell: np.ndarray, q: np.ndarray, asks: np.ndarray, reach: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the ids and scores of its k best in the cells of this block that it visits."""
+    order = np.argsort(cell, kind="stable")
+    x, ids, cells, starts = x[order], ids[order], *np.unique(cell[order], return_index=True)
+    ends, goes = np.append(starts[1:], len(order)), visits(index, q, reach, cells)
+    held: list[list] = [[] for _ in range(len(q))]
+    for c, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
+        rows = np.flatnonzero(goes[:, c])
+        if len(rows):
+            for i, line in zip(rows.tolist(), q[rows] @ x[lo:hi].T, strict=True):
+                held[i].append((lo, line))
+    out = []
+    for i, found in enumerate(held):
+        at = np.concatenate([np.arange(lo, lo + len(line)) for lo, line in found]) if found else np.zeros(0, np.int64)
+        line = np.concatenate([line for _, line in found]) if found else np.zeros(0)
+        other = ids[at] != asks[i]
+        at, line = at[other], line[other]
+        if len(at) > k:
+            # every entry that rounding may bring among the best is scored again, in one fixed order of addition
+            floor = np.partition(line, -k)[-k]
+            at = at[line >= floor - 1e-9 * max(1.0, abs(floor))]
+        exact = (x[at] * q[i]).sum(1)
+        best = np.lexsort((ids[at], -exact))[:k]
+        out.append((ids[at][best], exact[best]))
+    return out
+
+
 def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best found per query; ties go to the smaller id.
 
@@ -136,75 +186,53 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
     rows = rows.where(F.size("v") == dim)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     index = fit(_matrix(sample.column("v"), dim), total)
-    kinds = len(index.first) * len(index.second)
+    width, kinds = len(index.second), len(index.first) * len(index.second)
 
     def place(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(index.cells(_matrix(b.column(1), dim)) if b.num_rows else [], pa.int64())], names=["id", "v", "asks", "cell"])
 
     entries = durable(rows.mapInArrow(place, "id long, v array<double>, asks boolean, cell long"), "entries")
-    counts = np.zeros(kinds, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # at most 64 * 64 rows
-        counts[r.cell] = r["count"]
-    # cells in a row fill a block; a cell of over BLOCK entries has blocks of its own
-    first, parts, block, held = np.zeros(kinds, np.int64), np.ones(kinds, np.int64), 0, 0
-    for c in range(kinds):
-        parts[c] = max(1, -(-counts[c] // BLOCK))
-        if held and held + counts[c] > BLOCK:
-            block, held = block + 1, 0
-        first[c] = block
-        held += counts[c]
-        if parts[c] > 1:
-            block, held = block + int(parts[c]), 0
+    counts, asked = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("m")).toLocalIterator():  # at most MOST ** 2 rows
+        counts[r.cell], asked[r.cell] = r.n, r.m
+    (first, parts), (grp, grps) = deal(counts, BLOCK), deal(asked, GROUP)
     need = index.budget * total
 
     def route(batches):
-        """A row per query and block; limit is the summed distance up to which the query visits cells."""
+        """A row per query and block; reach is the summed distance up to which the query visits cells."""
         for b in batches:
-            q = _matrix(b.column(1), dim)
             ids, to, at, limit = b.column(0).to_pylist(), [], [], []
-            da, db = index.distances(q)
-            for i in range(len(q)):
-                cells = index.traverse(da[i], db[i], counts, need)
-                last = max(da[i][c // len(index.second)] + db[i][c % len(index.second)] for c in cells)
-                blocks = sorted({int(first[c]) + p for c in cells for p in range(int(parts[c]))})
+            da, db = index.distances(_matrix(b.column(1), dim))
+            for i in range(len(ids)):
+                cells = np.array(index.traverse(da[i], db[i], counts, need), np.int64)
+                last = float((da[i][cells // width] + db[i][cells % width]).max())
+                blocks = sorted({*first[cells[parts[cells] == 1]].tolist()} | {int(first[c]) + p for c in cells[parts[cells] > 1] for p in range(int(parts[c]))})
                 to += blocks
                 at += [i] * len(blocks)
                 limit += [last] * len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), b.column(1).take(pa.array(at, pa.int64())), pa.array(limit, pa.float64()), pa.array(to, pa.int64())], names=["id", "v", "reach", "block"])
-
-    asked = entries.where("asks").select("id", "v")
-    n_asked = asked.count()
-    groups = max(1, -(-n_asked // GROUP))
-    sent = asked.mapInArrow(route, "id long, v array<double>, reach double, block long").withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    table = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(kinds) if counts[c]], "cell long, first long, parts long")
-    dealt = entries.join(F.broadcast(table), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("id"), "parts"))
-    dealt = dealt.select("id", "v", "cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(limit, pa.float64()), pa.array(to, pa.int64())], names=["id", "v", "grp", "reach", "block"])
+
+    spread = lambda at, n: F.pmod(F.xxhash64("id"), n) + at
+    groups = spark.createDataFrame([(int(c), int(grp[c]), int(grps[c])) for c in np.flatnonzero(asked)], "cell long, at long, n long")
+    blocks = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(counts)], "cell long, at long, n long")
+    # both tables have at most MOST ** 2 rows
+    mine = entries.where("asks").join(groups, "cell").select("id", "v", spread(F.col("at"), F.col("n")).alias("grp"))
+    sent = durable(mine.mapInArrow(route, "id long, v array<double>, grp long, reach double, block long"), "sent")
+    pairs = sent.select(F.col("block").alias("to"), F.col("grp").alias("of")).distinct()
+    dealt = entries.join(blocks, "cell").select("id", "v", "cell", spread(F.col("at"), F.col("n")).alias("block"))
+    dealt = dealt.join(pairs, F.col("block") == F.col("to")).select("id", "v", "cell", "block", F.col("of").alias("grp"))
 
     def rank(entry: pa.Table, query: pa.Table) -> pa.Table:
         out_q, out_id, out_s = [], [], []
         if entry.num_rows and query.num_rows:
-            x, q = _matrix(entry.column("v"), dim), _matrix(query.column("v"), dim)
-            ids, asks, reach = entry.column("id").to_numpy(), query.column("id").to_numpy(), query.column("reach").to_numpy()
-            cell = entry.column("cell").to_numpy()
-            da, db = index.distances(q)
-            for lo in range(0, len(q), 256):
-                s = q[lo : lo + 256] @ x.T
-                visited = da[lo : lo + 256][:, cell // len(index.second)] + db[lo : lo + 256][:, cell % len(index.second)] <= reach[lo : lo + 256, None] + 1e-12
-                s[~visited] = -np.inf
-                s[ids == asks[lo : lo + 256, None]] = -np.inf
-                for i, line in enumerate(s):
-                    n = min(k, int((line > -np.inf).sum()))
-                    if not n:
-                        continue
-                    # every entry that rounding may bring among the best is scored again, in one fixed order of addition
-                    floor = np.partition(line, -n)[-n]
-                    at = np.flatnonzero(line >= floor - 1e-9 * max(1.0, abs(floor)))
-                    exact = (x[at] * q[lo + i]).sum(1)
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    out_q += [asks[lo + i]] * len(best)
-                    out_id += ids[at][best].tolist()
-                    out_s += exact[best].tolist()
+            asks = query.column("id").to_numpy()
+            found = best_of_block(index, _matrix(entry.column("v"), dim), entry.column("id").to_numpy(), entry.column("cell").to_numpy(), _matrix(query.column("v"), dim), asks, query.column("reach").to_numpy(), k)
+            for ask, (ids, scores) in zip(asks.tolist(), found, strict=True):
+                out_q += [ask] * len(ids)
+                out_id += ids.tolist()
+                out_s += scores.tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_id, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     found = dealt.groupBy("block", "grp").cogroup(sent.groupBy("block", "grp")).applyInArrow(rank, "query_id long, vec_id long, score double")
