@@ -11,11 +11,12 @@ for that length, by a rank that is counted in parts.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
-from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ CAPACITY = 1024
 END = 2
 #: Entries of a worker's table of known words, at most; beyond it, words are encoded anew.
 KNOWN = 400_000
-#: Rounds of local search, at most, and the emptiest patterns that each goes through.
-ROUNDS, EMPTIEST = 12, 48
 SPLIT = re.compile(r"  |\s \s")
 
 
@@ -40,7 +39,6 @@ def encoder(vocabulary: str | None):
     """
     import json
 
-    import numpy as np
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -128,84 +126,117 @@ Pattern = tuple[int, ...]
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Counter[Pattern]:
-    """Patterns by best fit, longest first: a bin takes the longest piece that still fits, and as many bins as the
-    counts allow are filled alike; every step uses up at least one length."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    sizes, out = sorted(left), Counter()
-    while sizes:
-        pattern, room, used = [], capacity, Counter()
-        while sizes:
-            at = bisect_right(sizes, room) - 1
-            while at >= 0 and used[sizes[at]] >= left[sizes[at]]:
-                at -= 1
-            if at < 0:
+    """Patterns by best fit, longest pieces first: a piece goes to the fullest bin that still takes it, or else to a new one.
+
+    A bin that takes a piece stays the fullest that fits for as long as it takes another of that length, so bins with the same
+    contents are filled alike, and a length adds two patterns or so for each room it meets.
+    """
+    bins: dict[int, Counter[Pattern]] = {}
+    for size in sorted((n for n, c in counts.items() if c > 0), reverse=True):
+        left, rooms = counts[size], sorted(r for r in bins if r >= size)
+        while left:
+            room = rooms[0] if rooms else capacity
+            pattern, have = max(bins[room].items()) if rooms else ((), left)
+            each = min(room // size, left)
+            n = min(have, left // each)
+            if rooms:
+                bins[room][pattern] -= n
+                if not bins[room][pattern]:
+                    del bins[room][pattern]
+                if not bins[room]:
+                    del bins[room]
+                    rooms.pop(0)
+            after = room - each * size
+            bins.setdefault(after, Counter())[(*pattern, *[size] * each)] += n
+            if after >= size and after not in rooms:
+                rooms.insert(0, after)
+            left -= n * each
+    return Counter({p: n for group in bins.values() for p, n in group.items()})
+
+
+class _Search:
+    """Underfull bins that may take a piece: per pattern the lengths it can give back, laid end to end."""
+
+    def __init__(self, bins: Counter[Pattern], capacity: int):
+        self.capacity = capacity
+        self.order: list[Pattern] = []
+        self.at: dict[Pattern, int] = {}
+        self.room, self.back, self.owner, self.live = (np.zeros(0, np.int64) for _ in range(4))
+        self.add([p for p in bins if sum(p) < capacity])
+
+    def add(self, patterns: list[Pattern]) -> None:
+        new = [p for p in dict.fromkeys(patterns) if p not in self.at]
+        backs = [(0, *dict.fromkeys(p)) for p in new]
+        sizes = list(map(len, backs))
+        owner = np.repeat(np.arange(len(self.order), len(self.order) + len(new)), sizes)
+        self.at |= {p: len(self.order) + k for k, p in enumerate(new)}
+        self.order += new
+        self.back = np.concatenate([self.back, np.array([x for b in backs for x in b], np.int64)])
+        self.room = np.concatenate([self.room, np.repeat(np.array([self.capacity - sum(p) for p in new], np.int64), sizes)])
+        self.owner = np.concatenate([self.owner, owner])
+
+    def exchange(self, poor: Pattern, bins: Counter[Pattern]):
+        """(rich pattern, pieces given, pieces taken) that fills an underfull bin as much as any, a full bin before all; or None."""
+        if len(self.order) > 2 * len(bins) + 64:  # patterns that no bin has any more
+            self.__init__(bins, self.capacity)
+        have = np.array([bins[p] for p in self.order], np.int64)
+        if poor in self.at:
+            have[self.at[poor]] -= 1
+        rows = np.flatnonzero((have[self.owner] > 0) & (self.room <= self.capacity - sum(poor)))
+        if not len(rows):
+            return None
+        room, back = self.room[rows], self.back[rows]
+        gifts: dict[tuple[int, bool], Pattern] = {(a, False): (a,) for a in dict.fromkeys(poor)}
+        gifts |= {(a + b, True): (a, b) for i, a in enumerate(poor) for b in dict.fromkeys(poor[i + 1 :])}
+        best, found = 0, None
+        for (total, two), given in gifts.items():
+            more = total - back
+            gain = np.where((more > 0) & (more <= room) & ((back > 0) | (not two)), more + (more == room) * self.capacity, 0)
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, found = int(gain[k]), (self.order[self.owner[rows[k]]], given, (int(back[k]),) if back[k] else ())
+            if best > self.capacity:
                 break
-            pattern.append(sizes[at])
-            used[sizes[at]] += 1
-            room -= sizes[at]
-        times = min(left[n] // k for n, k in used.items())
-        out[tuple(pattern)] += times
-        for n, k in used.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-        sizes = sorted(left) if len(left) != len(sizes) else sizes
-    return out
+        return found
 
 
-def improve(bins: Counter[Pattern], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Counter[Pattern]:
+def improve(bins: Counter[Pattern], capacity: int = CAPACITY) -> Counter[Pattern]:
     """Local search on patterns: the emptier of two underfull bins gives the fuller one a piece, or one or two pieces for a
     shorter one, whenever that raises the sum of squared fills; emptied bins vanish. Exchanges that fill the fuller
-    bin most come first, and bins with the same contents change together."""
+    bin most come first, and bins with the same contents change together. It ends when no pair of bins has such an exchange, or
+    when no packing can have fewer bins."""
     bins = Counter({p: n for p, n in bins.items() if n > 0})
     least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
-    for _ in range(rounds):
+    search, total, changed = _Search(bins, capacity), sum(bins.values()), True
+    while changed and total > least:
         changed = False
-        if sum(bins.values()) == least:  # no packing has fewer bins
-            break
-        for poor in sorted((p for p in bins if sum(p) < capacity), key=sum)[:EMPTIEST]:
-            while bins[poor] > 0 and poor:
-                found = _exchange(poor, bins, capacity)
-                if not found:
-                    break
-                rich, give, take = found
-                n = min(bins[poor], bins[rich]) if rich != poor else bins[poor] // 2
-                new_rich, new_poor = list(rich), list(poor)
-                for x in give:
-                    new_poor.remove(x)
-                    new_rich.append(x)
-                for x in take:
-                    new_rich.remove(x)
-                    new_poor.append(x)
-                bins[poor] -= n
-                bins[rich] -= n
-                bins[tuple(sorted(new_rich, reverse=True))] += n
-                if new_poor:
-                    bins[tuple(sorted(new_poor, reverse=True))] += n
-                changed = True
-        bins = Counter({p: n for p, n in bins.items() if n > 0})
-        if not changed:
-            break
-    return bins
-
-
-def _exchange(poor: Pattern, bins: Counter[Pattern], capacity: int):
-    """(rich pattern, pieces given, pieces taken) that fills an underfull bin as much as any, or None."""
-    single = set(poor)
-    gifts = {(a,): a for a in single} | {(a, b): a + b for i, a in enumerate(poor) for b in poor[i + 1 :]}
-    fill, best, gain = sum(poor), None, 0
-    for rich, n in bins.items():
-        room = capacity - sum(rich)
-        if n < (2 if rich == poor else 1) or room <= 0 or sum(rich) < fill:
-            continue
-        for given, total in gifts.items():
-            for back in ((), *((x,) for x in set(rich))):
-                more = total - sum(back)
-                if 0 < more <= room and (len(given) == 1 or back) and more + (room == more) * capacity > gain:
-                    best, gain = (rich, given, back), more + (room == more) * capacity
-        if gain > capacity:
-            break
-    return best
+        todo = [(sum(p), p) for p in search.order if bins[p] > 0]
+        heapq.heapify(todo)
+        while todo and total > least:
+            _, poor = heapq.heappop(todo)
+            if bins[poor] <= 0 or not (found := search.exchange(poor, bins)):
+                continue
+            rich, give, take = found
+            n = min(bins[poor], bins[rich]) if rich != poor else bins[poor] // 2
+            new_rich, new_poor = list(rich), list(poor)
+            for x in give:
+                new_poor.remove(x)
+                new_rich.append(x)
+            for x in take:
+                new_rich.remove(x)
+                new_poor.append(x)
+            bins[poor] -= n
+            bins[rich] -= n
+            made = [tuple(sorted(x, reverse=True)) for x in (new_rich, new_poor) if x]
+            for p in made:
+                bins[p] += n
+            total -= n * (2 - len(made))
+            search.add([p for p in made if sum(p) < capacity])
+            for p in {poor, *made}:
+                if sum(p) < capacity and bins[p] > 0:
+                    heapq.heappush(todo, (sum(p), p))
+            changed = True
+    return Counter({p: n for p, n in bins.items() if n > 0})
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
