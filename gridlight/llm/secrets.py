@@ -29,7 +29,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 ALL_HEX = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-NAME = re.compile(r"[/_=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[/_=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[/_=+-]*")
+_NAME_WORD = r"(?:[A-Z]?[a-z]{1,19}|[A-Z]{1,19}|[0-9]{1,8})(?![A-Za-z0-9])"
+NAME = re.compile(rf"[/_=+-]*{_NAME_WORD}(?:[/_=+-]+{_NAME_WORD})*[/_=+-]*")
 #: Parts of a run between separators; a UUID is one part.
 PART = re.compile(rf"{UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 #: Below so many characters a token, a run of at least 20 characters counts as random.
@@ -57,8 +58,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """Whether a run is a digest of a usual length, a UUID, a number or a name made of words."""
-    if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
+    """Whether a run is a digest of a usual length, a UUID, a number or a name made of words of under 20 letters."""
+    if not any(map(str.isalpha, run)):
         return True
     if ALL_HEX.fullmatch(run):
         return len(run) in DIGESTS
