@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
 #: Elements whose content is never text of the page.
 DROPPED = ("script", "style", "noscript", "template", "title", "textarea", "select", "option", "svg", "math", "iframe", "object", "canvas", "audio", "video", "datalist")
-#: Attributes as a browser reads them: a quote opens a value only right after '='.
-_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>|<({'|'.join(DROPPED)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRS})>|<[!?/][^>]*>", re.S | re.I
-)
+#: Of these, the ones that a browser reads to the end of the page if they are never closed; the others are then taken as empty.
+RAW = frozenset(("script", "style", "title", "textarea", "iframe"))
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in DROPPED}
+_NAME, _STOP, _BLANK, _VALUE = (re.compile(p) for p in (r"/?[a-zA-Z][a-zA-Z0-9:-]*", r"[>=]", r"\s*", r"[^\s>]*"))
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +42,59 @@ NUMBERS = 20
 WIDTH = len(TAGS) + 2 * len(GROUPS) + 7 + NUMBERS
 
 
+class Scanner:
+    """Markup of a page in one pass, whose time grows with the page however its markup is broken."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.quotes = True  # until a tag turns out to have no end outside its quotes
+        self.open_end: set[str] = set()  # dropped elements that are not closed any more
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its '>', as a browser reads it: a quote opens a value only right after
+        '='. Where there is no such place, quotes don't count, in this tag and in all later ones."""
+        s, start = self.source, at
+        while self.quotes and (m := _STOP.search(s, at)):
+            if m[0] == ">":
+                return m.start()
+            at = _BLANK.match(s, m.end()).end()
+            quote = s[at : at + 1]
+            if quote and quote in "\"'" and at < self.last[quote]:
+                at = s.index(quote, at + 1) + 1
+            else:
+                at = _VALUE.match(s, at).end()
+        self.quotes = False
+        return s.find(">", start)
+
+    def tags(self):
+        """(start, end, name, attributes): a name with '/' before it closes; None for comments, declarations and dropped elements."""
+        s, at = self.source, 0
+        while 0 <= (start := s.find("<", at)) < self.last[">"] or start >= 0 and s.startswith("<!--", start):
+            if s.startswith("<!--", start):
+                end = s.find("-->", start + 4)
+                at = len(s) if end < 0 else end + 3
+                yield start, at, None, ""
+            elif m := _NAME.match(s, start + 1):
+                name, end = m[0].lower(), self._end(m.end())
+                attributes, at = s[m.end() : end], end + 1
+                if name not in _END or name in self.open_end or name in ("svg", "math") and attributes.endswith("/"):
+                    yield start, at, None if name in _END else name, attributes
+                    continue
+                if close := _END[name].search(s, at):
+                    at = close.end()
+                elif name in RAW:
+                    at = len(s)
+                else:
+                    self.open_end.add(name)
+                yield start, at, None, ""
+            elif s[start + 1] in "!?/":
+                at = s.index(">", start) + 1
+                yield start, at, None, ""
+            else:
+                at = start + 1
+
+
 class Page:
     """Nodes in page order; parent, tag, groups of attribute words, and of text blocks the text and its links' length."""
 
@@ -61,7 +114,8 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open blocks
-        inline: list[str] = []
+        blocks: Counter[str] = Counter()  # how many of them have each name
+        inline: Counter[str] = Counter()
         held: list[str] = []
         linked, at = 0, 0
 
@@ -74,31 +128,31 @@ class Page:
                 held.clear()
             linked = 0
 
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                held.append(source[at : m.start()])
-                if "a" in inline:
-                    linked += m.start() - at
-            at = m.end()
-            name = m[3]
+        def leave(k: int) -> None:
+            blocks.subtract(x for x, _ in stack[k:])
+            del stack[k:]
+
+        for start, end, name, attributes in Scanner(source).tags():
+            if start > at:
+                held.append(source[at:start])
+                if inline["a"]:
+                    linked += start - at
+            at = end
             if name is None:
                 continue
-            name = name.lower()
+            closes, name = name[0] == "/", name.lstrip("/")
             if name in INLINE:
                 if name == "br" or name == "img":
                     held.append(" ")
-                elif m[2]:
-                    if name in inline:
-                        del inline[len(inline) - 1 - inline[::-1].index(name)]
+                elif closes:
+                    inline[name] = max(0, inline[name] - 1)
                 elif name not in VOID:
-                    inline.append(name)
+                    inline[name] += 1
                 continue
             flush()
-            if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+            if closes:
+                if blocks[name] > 0:
+                    leave(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
                 inline.clear()
                 continue
             if name in VOID:
@@ -107,17 +161,18 @@ class Page:
                 ends = ENDS.get(name, frozenset())
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p" or stack[k][0] in ends:
-                        del stack[k:]
+                        leave(k)
                         if not ends:
                             break
                     elif stack[k][0] in BOUNDS:
                         break
             inline.clear()
-            words = _PART.findall(" ".join(["".join(x) for x in _ATTR.findall(m[4])]).lower()) if m[4] and not m[4].endswith("/") else ()
+            words = _PART.findall(" ".join(["".join(x) for x in _ATTR.findall(attributes)]).lower()) if attributes and not attributes.endswith("/") else ()
             groups = tuple(sorted({GROUP[w] for w in words if w in GROUP}))
             node = self._add(stack[-1][1], TAG.get(name, -1), groups)
-            if not m[4].endswith("/"):
+            if not attributes.endswith("/"):
                 stack.append((name, node))
+                blocks[name] += 1
         if at < len(source):
             held.append(source[at:])
         flush()
