@@ -2,13 +2,15 @@
 
 Scores are learned from preference pairs (a document of label 1 over one of label 0) by logistic loss on the
 difference of their features; the cut is a quantile of the training scores, and scores are mapped to 0..1 so that
-the cut lies at THRESHOLD. Statistics of the text are the only inputs: no id, language, source or label.
+the cut lies at THRESHOLD. Features are statistics of the text, and what each of them has beyond quantiles of the training rows,
+so that a statistic may count for more above some level. No id, language, source or label is an input.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +28,10 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[a-zß-ÿ]+"),
 _MARK = re.compile(rb"[*#$%&!|<>=_~^@+]+[\x20\x09-\x0D]")
 NAMES = (
     "bias_empty", "log_words", "few_words", "word_length", "signs", "marked_words", "upper", "no_lower", "digits", "distinct_words",
-    "repeated_windows", "dup_lines", "line_words", "sentence_ends", "most_common", "signs_high", "upper_high", "repeat_high",
+    "repeated_windows", "dup_lines", "line_words", "sentence_ends", "most_common",
 )
+#: Quantiles of the training rows at which a statistic may begin to count for more or less.
+KNOTS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def features(text: str | None) -> list[float]:
@@ -47,19 +51,25 @@ def features(text: str | None) -> list[float]:
     signs = len(_SIGNS.findall(text)) / n
     marked = len(_MARK.findall(b" ".join(words) + b" ")) / n
     digits = sum(map(len, _DIGIT.findall(text))) / total
-    common = max(map(words.count, list(kinds)[:1])) / n if len(kinds) == 1 else 0.0
+    common = Counter(words).most_common(1)[0][1] / n
     return [
         0.0, math.log1p(n) / 8, float(n < 20), min(total / n, 30) / 10, min(signs, 3), min(marked, 1), upper / letters, float(lower < upper),
         min(digits, 1), len(kinds) / n, repeated, 1 - len(set(lines)) / len(lines), min(n / len(lines), 100) / 100,
-        min((text.count(".") + text.count("?")) / n, 1), common, float(signs > 0.15), float(upper > 0.3 * letters), float(repeated > 0.3),
+        min((text.count(".") + text.count("?")) / n, 1), common,
     ]
 
 
+def beyond(x: np.ndarray, knots: tuple[tuple[float, ...], ...]) -> np.ndarray:
+    """The columns of x, and for each knot what its column has beyond it."""
+    return np.concatenate([x, *[np.maximum(x[:, [i]] - np.array(k), 0) for i, k in enumerate(knots)]], axis=1)
+
+
 @dataclass(frozen=True)
 class Model:
     """Score of x: logistic of ``slope * (weights . (x - mean) / scale - cut)``, shifted so that the cut scores THRESHOLD."""
 
     weights: tuple[float, ...]
+    knots: tuple[tuple[float, ...], ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     cut: float
@@ -69,7 +79,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        raw = ((x - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights)
+        raw = ((beyond(x, self.knots) - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights)
         z = self.slope * (raw - self.cut) + math.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -79,7 +89,9 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float =
     that parts the two labels best (mean of both rates of right answers), halfway to the next score above."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        return Model((), (), (), 0.0, 0.0, 1.0 if len(good) else 0.0 if len(bad) else 0.5)
+        return Model((), (), (), (), 0.0, 0.0, 1.0 if len(good) else 0.0 if len(bad) else 0.5)
+    knots = tuple(tuple(np.unique(np.quantile(x[:, i], KNOTS)).tolist()) for i in range(x.shape[1]))
+    x = beyond(x, knots)
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - mean) / scale
@@ -101,7 +113,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float =
     below = order[order < best]
     cut = float((best + below[-1]) / 2) if len(below) else float(best)
     spread = float(raw[good].mean() - raw[bad].mean())
-    return Model(tuple(w), tuple(mean), tuple(scale), cut, 6 / max(spread, 1e-6))
+    return Model(tuple(w), knots, tuple(mean), tuple(scale), cut, 6 / max(spread, 1e-6))
 
 
 def held_out(key: Column) -> Column:
@@ -110,18 +122,23 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Texts with labels to learn from: of each label at most ``sample`` ids, the first by hash."""
+    """Texts with labels to learn from: of each label at most ``sample`` rows, the first by hash of the id. Rows that repeat an id are
+    all taken."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     order = F.xxhash64("doc_id")
     picked = known.where("quality = 0").orderBy(order, "doc_id").limit(sample).union(known.where("quality = 1").orderBy(order, "doc_id").limit(sample))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * sample ids
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("place", order)  # at most 2 * sample ids
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = map_rows(training_rows(docs, labels, sample).select("text", "quality"), lambda c: [list(map(features, c[0])), c[1]], "x array<double>, y int").collect()
-    x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(NAMES))
+    """The model learned from training_rows(). Null texts count as empty; an id that documents or labels repeat gives a row for each
+    pair; where that makes more than 8 * sample rows, the first by hash of the id are learned from. Without rows of both labels
+    all texts get one score."""
+    rows = training_rows(docs, labels, sample).select("place", "text", "quality")
+    made = map_rows(rows, lambda c: [c[0], list(map(features, c[1])), c[2]], "place long, x array<double>, y int").orderBy("place", "y", "x").limit(8 * sample).collect()
+    x = np.array([r.x for r in made], dtype=float).reshape(len(made), len(NAMES))
     order = np.lexsort(x.T[::-1])  # the same pairs whatever the order of the rows
-    return fit_pairs(x[order], np.array([r.y for r in rows])[order])
+    return fit_pairs(x[order], np.array([r.y for r in made])[order])
 
 
 def classify(docs: DataFrame, model: Model, score_as: str = "score", predicted_as: str = "predicted") -> DataFrame:
