@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What stands for a key that is null.
+NULL = "\x00null"
+
+
 def unused(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df doesn't have, one for each stem."""
     have = {c.lower() for c in df.columns}
@@ -21,7 +25,7 @@ def unused(df: DataFrame, *stems: str) -> list[str]:
 
 def hash_of(key: str, seed: int) -> Column:
     """The order of a seeded shuffle; the same in any engine with MD5. Null stands for a text of its own."""
-    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("\x00null")), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit(NULL)), F.lit(f":{seed}")))
 
 
 def shuffled_rank(df: DataFrame, key: str, seed: int, within: list[str] | None = None, name: str = "rank") -> DataFrame:

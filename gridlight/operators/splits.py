@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlight.operators.ranking import global_rank, hash_of, shuffled_rank, unused
+from gridlight.operators.ranking import NULL, global_rank, hash_of, shuffled_rank, unused
 
 
 def allocate(counts: DataFrame, label: str, n: str, share: float, name: str) -> DataFrame:
@@ -89,6 +91,11 @@ def at_positions(df: DataFrame, positions: list[int], *order: str) -> DataFrame:
     return global_rank(df, *order).where(F.col("pos").isin(positions))
 
 
+def hash_in_python(key: str | None, seed: int) -> str:
+    """What ranking.hash_of gives for a key as text."""
+    return hashlib.md5(f"{NULL if key is None else key}:{seed}".encode()).hexdigest()
+
+
 def epoch_seed(seed: int, epoch: int) -> int:
     return seed * 1_000_003 + epoch
 

@@ -24,9 +24,18 @@ def unzip_if_missing(archive: str, folder: str) -> bool:
     return True
 
 
+def exists(path: str) -> bool:
+    """Whether a file or folder is there, in whatever store its scheme names."""
+    spark = SparkSession.getActiveSession()
+    if "://" not in path or spark is None:
+        return os.path.exists(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def require(path: str, hint: str) -> str:
     """The path, or an error that says how to get what is missing."""
-    if not os.path.exists(path):
+    if not path or not exists(path):
         raise FileNotFoundError(f"{path} is missing: {hint}")
     return path
 

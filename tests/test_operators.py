@@ -286,7 +286,7 @@ def test_gradients_against_differences(kind):
             assert abs(numeric(loss, p, at) - g[at]) < 1e-5
 
 
-def test_training_streams_whole_tables(spark):
+def test_training_streams_whole_tables(spark, monkeypatch):
     """Batches from a table: every row once, x beside its y, a new order each epoch; rates fall and best weights stay."""
     n = 230
     df = spark.createDataFrame([(i, [float(i), 1.0], [2.0 * i]) for i in range(n)], "image_id long, x array<double>, y array<double>").repartition(5)
@@ -297,6 +297,11 @@ def test_training_streams_whole_tables(spark):
         assert all((2 * x[:, :1] == y).all() for x, y in batches)
         assert sorted(int(v) for x, _ in batches for v in x[:, 0]) == list(range(n))
     assert seen[0][0][0].tolist() != seen[1][0][0].tolist()
+    monkeypatch.setattr(training, "HELD", 0)
+    again = training.Rows(df, "image_id", "x", "y", 32)
+    for k in (1, 2):
+        kept, read = (np.concatenate([x for x, _ in r.epoch(k)]) for r in (rows, again))
+        assert rows.held and not again.held and (kept == read).all()
 
     class Constant:
         def __init__(self, values):
