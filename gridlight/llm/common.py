@@ -79,6 +79,21 @@ def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
+def stored(spark: SparkSession, name: str, make: Callable[[], bytes]) -> bytes:
+    """What make() gives, kept in the shared folder under a name that says all that it depends on; made once for all sessions."""
+    path = f"{shared_dir(spark)}/gridlight-{name}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(hadoop(f"{path}/_SUCCESS")):
+        return bytes(spark.read.parquet(path).first()[0])
+    value = make()
+    part = f"{path}-{uuid.uuid4().hex}"
+    spark.createDataFrame([(value,)], "value binary").coalesce(1).write.parquet(part)
+    if fs.exists(hadoop(path)) or not fs.rename(hadoop(part), hadoop(path)):  # another session was first
+        fs.delete(hadoop(part), True)
+    return value
+
+
 def bounded(spark: SparkSession) -> None:
     """Arrow batches of documents that both sides of a Python worker can hold several of; a setting of one's own stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,13 +7,16 @@ which it is known what belongs to the article. No page of the input is learned f
 from __future__ import annotations
 
 import functools
+import hashlib
+import io
 import random
+from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from gridlight.llm import boosting
-from gridlight.llm.common import map_rows
+from gridlight.llm import boosting, dom
+from gridlight.llm.common import map_rows, stored
 from gridlight.llm.dom import Page
 
 #: Pages that the trees are trained on.
@@ -156,6 +159,19 @@ def model(pages: int = PAGES, seed: int = 1) -> boosting.Forest:
     return boosting.fit(x, y)
 
 
+def stored_model(spark: SparkSession, pages: int = PAGES, seed: int = 1) -> boosting.Forest:
+    """model(), trained once for a shared folder; the name holds the parameters and a digest of the code that makes it."""
+    code = hashlib.blake2b(b"".join(Path(f).read_bytes() for f in (__file__, dom.__file__, boosting.__file__)), digest_size=8).hexdigest()
+
+    def make() -> bytes:
+        out, forest = io.BytesIO(), model(pages, seed)
+        np.savez(out, feature=forest.feature, edge=forest.edge, value=forest.value, base=forest.base)
+        return out.getvalue()
+
+    with np.load(io.BytesIO(stored(spark, f"forest-{pages}-{seed}-{code}", make))) as z:
+        return boosting.Forest(z["feature"], z["edge"], z["value"], float(z["base"]))
+
+
 def main_text(sources: list[str | None], forest: boosting.Forest) -> list[str]:
     pages = [Page(s or "") for s in sources]
     margins = forest.margin(np.concatenate([p.features() for p in pages])) if pages else np.zeros(0)
@@ -172,7 +188,7 @@ def extract(pages: DataFrame, key: str = "page_id", keep: tuple[str, ...] = ("ur
     Null and empty pages have no text; broken markup is read as far as it goes; repeated rows are extracted each; other
     columns are ignored; no rows give no rows.
     """
-    forest = model()
+    forest = stored_model(pages.sparkSession)
     schema = pages.schema
 
     def make(cols: list[list]) -> list[list]:

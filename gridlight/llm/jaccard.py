@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridlight.llm.common import durable, release, scratch
 from gridlight.llm.links import components
@@ -180,7 +181,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def survey(docs: DataFrame) -> DataFrame:
     """Per document doc_id, n, sid (id of its set) and least (its smallest hash), and rows with only counter and seen:
     how many documents of a task have a hash under that counter, where that is clearly more than chance."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, arrow = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
@@ -196,15 +197,11 @@ def survey(docs: DataFrame) -> DataFrame:
         mean = counts.mean()
         at = np.flatnonzero(counts >= 3 + mean + 4 * np.sqrt(mean))
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), _arrow(kind)), none, none, none, pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["doc_id", "n", "sid", "least", "counter", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), arrow), none, none, none, pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["doc_id", "n", "sid", "least", "counter", "seen"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long, least long, counter long, seen long")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 S = [f"s{k}" for k in range(LONGS)]
 
 
@@ -260,8 +257,9 @@ def whole_sets(docs: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame
 
 def families(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b per set of a family: linked sets of one block have the same b."""
-    family = rows.where("sid IS NOT NULL").groupBy("least").agg(F.min("sid").alias("p"), F.max("sid").alias("q"), F.count("*").alias("n")).where("p < q").select("least", "n")
-    member = durable(rows.select("sid", "least").join(family, "least").select("sid", F.ceil(F.col("n") / BLOCK).alias("parts")).distinct(), "family")
+    sets = rows.where("sid IS NOT NULL").select("sid", "least").distinct()
+    family = sets.groupBy("least").agg(F.count("*").alias("n")).where("n > 1")
+    member = durable(sets.join(family, "least").select("sid", F.ceil(F.col("n") / BLOCK).alias("parts")), "family")
     whole = whole_sets(docs, rows, member.select("sid")).join(member, "sid")
     dealt = whole.select(F.element_at("whole", 1).alias("least"), F.pmod(F.xxhash64("sid"), "parts").alias("salt"), "sid", "whole")
 
