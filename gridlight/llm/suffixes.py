@@ -31,9 +31,10 @@ SPAN, K = 100, 32
 LEFT = SPAN - K
 LINE = SPAN + LEFT + 2
 #: Bytes that are hashed at once; suffixes of a sorted run; suffixes that a merging task gets, about; ranges, at most. One gram in
-#: GRAMS is sent along as a sample for the splitters, of which about SAMPLES are used for a range.
+#: GRAMS is sent along as a sample for the splitters, of which about SAMPLES are used for a range. A gram is crowded from so many
+#: occurrences on; strings around a crowded one are taken apart by where they start, STEP places at a time.
 CHUNK, RUN, MERGE, RANGES = 1 << 18, 50_000, 50_000, 1 << 16
-GRAMS, SAMPLES = 1024, 16
+GRAMS, SAMPLES, CROWD, STEP = 1024, 16, 10_000, 8
 _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 1 << 64)
 _BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -99,10 +100,10 @@ class Anchors:
     def kinds(self) -> np.ndarray:
         return self.hashes(self.at, K)
 
-    def lines(self, rows: np.ndarray) -> np.ndarray:
-        """LINE bytes per anchor: the suffix from it, the bytes before it from the nearest on, both zero beyond what the anchor's strings
-        cover, and how many bytes of either that is."""
-        at, before, after = self.at[rows], self.at[rows] - self.low[rows], self.high[rows] - self.at[rows] + SPAN
+    def lines(self, rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """LINE bytes per anchor: the suffix from it, the bytes before it from the nearest on, both zero beyond what strings that start up to
+        ``before`` bytes before it and end up to ``after`` bytes after it cover, and those two numbers."""
+        at = self.at[rows]
         data = np.concatenate([np.zeros(LEFT, np.uint8), np.frombuffer(self.data, np.uint8), np.zeros(SPAN, np.uint8)])
         window = np.lib.stride_tricks.sliding_window_view(data, LEFT + SPAN)[at]
         out = np.empty((len(rows), LINE), np.uint8)
@@ -158,19 +159,41 @@ def splitters(again: DataFrame, total: int, kinds: int) -> np.ndarray:
     return np.unique(got[order][np.searchsorted(upto, np.arange(1, parts) * upto[-1] / parts)])
 
 
-def sort_run(lines: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lines, numbers, common) of a run in order, without lines that equal one of an earlier place; and those places' strings, as
-    rows of (did, mark, first start, last start). common is the prefix that a line shares with the one before."""
+def crowded(again: DataFrame, total: int) -> tuple[np.ndarray, int]:
+    """Hashes of the grams that too many suffixes start with, at most RANGES of them, and how many suffixes those are."""
+    rows = again.where(F.col("n") > max(CROWD, total // RANGES)).select("kind", "n").toArrow()
+    return rows.column("kind").to_numpy().view(np.uint64), int(rows.column("n").to_numpy().sum())
+
+
+def taken_apart(a: Anchors, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, before, after, hash) for each STEP places where strings of these anchors start. All strings of one entry hold the bytes
+    that the hash is of, and equal strings have equal hashes; so entries of a crowded gram need not meet in one task."""
+    high, low = a.at[rows] - a.low[rows], a.at[rows] - a.high[rows]
+    out = []
+    for first in range(0, LEFT + 1, STEP):
+        last = min(first + STEP - 1, LEFT)
+        own = np.flatnonzero((high >= first) & (low <= last))
+        out.append((rows[own], np.minimum(high[own], last), SPAN - np.maximum(low[own], first), a.hashes(a.at[rows[own]] - first, first + SPAN - last)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def shared_with_last(lines: np.ndarray) -> np.ndarray:
+    """The prefix that each line shares with the one before."""
+    differ = lines[1:] != lines[:-1]
+    return np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), LINE)])[: len(lines)].astype(np.uint8)
+
+
+def sort_run(lines: np.ndarray, numbers: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, numbers, more) of a run in order, without lines that equal one of an earlier place; and those places' strings, as
+    rows of (did, mark, first start, last start)."""
     order = np.lexsort((numbers[:, 2], numbers[:, 1], numbers[:, 0]))
     order = order[np.argsort(np.ascontiguousarray(lines[order]).view(f"S{LINE}").ravel(), kind="stable")]
-    lines, numbers = lines[order], numbers[order]
-    differ = lines[1:] != lines[:-1]
-    common = np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), LINE)])[: len(lines)].astype(np.uint8)
-    leads = common < LINE
+    lines, numbers, more = lines[order], numbers[order], more[order]
+    leads = shared_with_last(lines) < LINE
     leader = np.maximum.accumulate(np.where(leads, np.arange(len(lines)), 0))
     later = np.flatnonzero((numbers != numbers[leader]).any(1))
     gone = np.stack([numbers[later, 0], numbers[later, 1], numbers[later, 2] - lines[later, -2], numbers[later, 2] + lines[later, -1].astype(np.int64) - SPAN], axis=1)
-    return lines[leads], numbers[leads], common[leads], gone
+    return lines[leads], numbers[leads], more[leads], gone
 
 
 def code_run(lines: np.ndarray, numbers: np.ndarray, common: np.ndarray) -> bytes:
@@ -305,13 +328,17 @@ def covered(x: np.ndarray) -> np.ndarray:
 _SPANS = ("did", "mark", "low", "high")
 
 
-def sorted_runs(keyed: DataFrame, wanted, cuts: np.ndarray) -> DataFrame:
-    """part, run, spans: pieces of sorted, front-coded runs, a part having all suffixes between two splitters; spans are what a run
-    itself shows to stand earlier, as four longs each."""
+def sorted_runs(keyed: DataFrame, wanted, cuts: np.ndarray, hot: np.ndarray, crowds: int) -> DataFrame:
+    """part, run, spans: pieces of sorted, front-coded runs, a part having all suffixes between two splitters, or all that a crowded
+    gram's hash deals to one of ``crowds`` parts of its own; spans are what a run itself shows to stand earlier, as four longs each."""
 
     def flush(held: list[tuple[np.ndarray, ...]]):
-        lines, numbers, common, gone = sort_run(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        to = np.searchsorted(cuts, np.ascontiguousarray(lines[:, :K]).view(f"S{K}").ravel(), side="right")
+        *run, dealt = (np.concatenate(x) for x in zip(*held, strict=True))
+        lines, numbers, dealt, gone = sort_run(*run, dealt)
+        to = np.where(dealt >= 0, -1 - dealt, np.searchsorted(cuts, np.ascontiguousarray(lines[:, :K]).view(f"S{K}").ravel(), side="right"))
+        order = np.argsort(to, kind="stable")
+        lines, numbers, to = lines[order], numbers[order], to[order]
+        common = shared_with_last(lines)
         ends = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
         pieces = list(zip(ends, ends[1:], strict=False))
         spans = [covered(gone).tobytes()] + [b""] * (len(pieces) - 1)
@@ -321,11 +348,20 @@ def sorted_runs(keyed: DataFrame, wanted, cuts: np.ndarray) -> DataFrame:
         held, n = [], 0
         for dids, marks, offsets, texts in _chunks(batches, CHUNK):
             a = Anchors(texts)
-            hit = np.flatnonzero(wanted.many(a.kinds().view(np.int64)))
-            for at in range(0, len(hit), RUN):
-                rows = hit[at : at + RUN]
+            kinds = a.kinds()
+            hit = np.flatnonzero(wanted.many(kinds.view(np.int64)))
+            many = np.isin(kinds[hit], hot)
+            calm = hit[~many]
+            apart, before, after, sums = taken_apart(a, hit[many])
+            every = np.concatenate([calm, apart])
+            before = np.concatenate([a.at[calm] - a.low[calm], before])
+            after = np.concatenate([a.high[calm] - a.at[calm] + SPAN, after])
+            dealt = np.concatenate([np.full(len(calm), -1, np.int64), (sums % np.uint64(crowds)).astype(np.int64)])
+            for at in range(0, len(every), RUN):
+                part = slice(at, at + RUN)
+                rows = every[part]
                 doc = a.doc[rows]
-                held.append((a.lines(rows), np.stack([np.array(dids, np.int64)[doc], np.array(marks, np.int64)[doc], a.at[rows] - a.starts[doc] + np.array(offsets, np.int64)[doc]], axis=1)))
+                held.append((a.lines(rows, before[part], after[part]), np.stack([np.array(dids, np.int64)[doc], np.array(marks, np.int64)[doc], a.at[rows] - a.starts[doc] + np.array(offsets, np.int64)[doc]], axis=1), dealt[part]))
                 n += len(rows)
                 if n >= RUN:
                     yield flush(held)
@@ -372,7 +408,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
     sizes = again.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     if not sizes.kinds:
         return keyed.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in _SPANS))
-    return merge_runs(sorted_runs(keyed, maybe(again, "kind"), splitters(again, sizes.n, sizes.kinds)))
+    hot, held = crowded(again, sizes.n)
+    return merge_runs(sorted_runs(keyed, maybe(again, "kind"), splitters(again, sizes.n, sizes.kinds), hot, 1 + held * STEP // MERGE))
 
 
 def remove(docs: DataFrame) -> DataFrame:

@@ -125,9 +125,11 @@ def test_suffix_removal_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.n_removed, r.n_spans) for r in rows) == [(-1, 300, 1), (5, 0, 0), (5, 0, 0), (9, 300, 1)]
 
 
-def test_suffix_removal_in_many_parts(spark, monkeypatch):
-    """Short runs, many ranges and chunks that cut texts give the same; a passage that half of the texts share is among them."""
-    for name, value in (("RUN", 40), ("MERGE", 30), ("GRAMS", 1), ("CHUNK", 150)):
+@pytest.mark.parametrize("crowd", [1, 12, 10_000])
+def test_suffix_removal_in_many_parts(spark, monkeypatch, crowd):
+    """Short runs, many ranges and chunks that cut texts give the same; a passage that half of the texts share is among them, and
+    its grams are crowded."""
+    for name, value in (("RUN", 40), ("MERGE", 30), ("GRAMS", 1), ("CHUNK", 150), ("CROWD", crowd)):
         monkeypatch.setattr(suffixes, name, value)
     line = "this line stands in very many of the documents of the corpus, in the middle of other words and at their ends, as licenses do"
     texts = [*passages(5, 30), *[f"{i} {line} {i * 7} {line[:105]}" if i % 2 else f"{line}{i}" for i in range(30)]]
@@ -135,6 +137,8 @@ def test_suffix_removal_in_many_parts(spark, monkeypatch):
     again = suffixes.grams(keyed).groupBy("kind").agg(F.sum("n").alias("n"), F.max("gram").alias("gram")).where("n > 1")
     sizes = again.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
     assert len(suffixes.splitters(again, sizes.n, sizes.kinds)) > 5
+    hot, held = suffixes.crowded(again, sizes.n)
+    assert (len(hot) > 0) == (held > 0) == (crowd < 100)
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.digest(docs(spark, texts).repartition(4)).collect()}
     assert got == suffixes.by_hand(dict(enumerate(texts)))
 
@@ -158,7 +162,9 @@ def test_loser_tree_merges_and_counts_prefixes():
             lines = np.frombuffer("".join(rng.choices("ab", weights=[9, 1], k=suffixes.LINE * n)).encode(), np.uint8).reshape(n, suffixes.LINE).copy()
             lines[n // 2] = lines[0]
             numbers = np.array([[rng.randint(0, 9), r, 100 + i] for i in range(n)], np.int64)
-            kept, whose, common, gone = suffixes.sort_run(lines, numbers)
+            kept, whose, more, gone = suffixes.sort_run(lines, numbers, numbers[:, 2])
+            assert (more == whose[:, 2]).all()
+            common = suffixes.shared_with_last(kept)
             assert len(kept) + len(gone) == n and len(gone) == (n > 1)
             assert {x.tobytes() for x in kept} == {x.tobytes() for x in lines}
             blob = suffixes.code_run(kept, whose, common)
