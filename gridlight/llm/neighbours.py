@@ -29,7 +29,7 @@ SAMPLE, TRIALS = 12_000, 300
 #: Entries of a cell, about, while both halves have no more than MOST centroids, which the sample can bear.
 CELL, MOST = 50, 1024
 #: Share of a sample query's neighbours whose cells the budget is to reach. Entries of a block, queries of a group.
-AIM, BLOCK, GROUP = 0.95, 2048, 512
+AIM, BLOCK, GROUP = 0.95, 8192, 2048
 ROUNDS = 10
 
 
