@@ -606,6 +606,17 @@ def windowed_counts(spark, sf):
     return out.select(names.tick(F.col("start")).alias("start"), "event_type", F.col("count").alias("n"))
 
 
+@query(f"WITH {_P} SELECT image_id, true AS aligned, sum(least(floor(value * 7), 6))::BIGINT AS total FROM p GROUP BY image_id")
+def augment_joint(spark, sf):
+    """Class masks and images that show them, turned and flipped: both stay alike, and no pixel is lost."""
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    packed = lambda times: F.unhex(F.array_join(F.transform("classes", lambda c: F.repeat(byte(c), times)), ""))
+    df = t.class_ids(spark, sf).select("image_id", packed(3).alias("image"), packed(1).alias("mask"))
+    out = noise.augment(df, "image_id", "image", "mask", 8, epoch=1).select("image_id", F.hex("image").alias("image"), F.hex("mask").alias("mask"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("long"), lambda a, i: a + F.substring(F.col("mask"), 2 * i, F.lit(1)).cast("long"))
+    return out.select("image_id", (F.regexp_replace("mask", "(..)", "$1$1$1") == F.col("image")).alias("aligned"), total.alias("total"))
+
+
 @query("SELECT vec_id AS image_id, row_number() OVER (ORDER BY md5(vec_id || ':42000129'), vec_id) AS pos FROM embeddings")
 def epoch_shuffle(spark, sf):
     """Places in the order of the third epoch."""
